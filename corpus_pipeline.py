@@ -1,4 +1,4 @@
-"""The corpus pipeline: stages that filter, deduplicate, redact, mix and encode documents."""
+"""The corpus pipeline: documents that are not toxic, one of each near-duplicate class, redacted, mixed and encoded."""
 
 from __future__ import annotations
 
@@ -6,19 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm import mixing, neardup, pieces, pii, toxicity
 from lectern.llm.common import materialise, prepare
-from lectern.llm.pii import redact
 
 
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the factorization machine, learned from ``labels``, finds toxic."""
+    prepare(spark)
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class, the one with the least doc_id."""
+    prepare(spark)
+    return neardup.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its personal data replaced by the kind's name."""
     prepare(spark)
-    return redact(docs)
+    return pii.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to the sources' target weights takes it."""
+    prepare(spark)
+    return mixing.mix(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns with piece_ids, and decoded, the text that these ids give back."""
+    prepare(spark)
+    return pieces.decode(pieces.encode(docs))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("pii", private_data)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("source_mixing", mixing_stage),
+    ("sentencepiece", sentencepiece_stage),
+]
 
-#: The stages hold learned models, so SQL cannot express the result.
+#: The stages hold a learned model and random draws, so SQL cannot express the result.
 ORACLE_SQL = None
 
 

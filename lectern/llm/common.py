@@ -99,8 +99,11 @@ WORD_BYTES = _classes(lambda b: b not in WHITESPACE.encode())
 TERM_BYTES = _classes(lambda b: b >= 128 or chr(b).isalnum())
 
 
-def token_hashes(data: bytes, inside: np.ndarray = WORD_BYTES) -> np.ndarray:
-    """64-bit hashes of the maximal byte runs inside the class, in text order, from prefix sums of a polynomial."""
+def token_hashes(data: bytes, inside: np.ndarray = WORD_BYTES, stems: int = 0) -> np.ndarray:
+    """64-bit hashes of the maximal byte runs inside the class, in text order, from prefix sums of a polynomial.
+
+    With ``stems``, the hashes of the first ``stems`` bytes of every longer run follow.
+    """
     if not data:
         return np.empty(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
@@ -111,5 +114,8 @@ def token_hashes(data: bytes, inside: np.ndarray = WORD_BYTES) -> np.ndarray:
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    if stems:
+        long = end - start > stems
+        start, end = np.concatenate((start, start[long])), np.concatenate((end, start[long] + stems))
     value = (total[end] - total[start]) * down[start]
     return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

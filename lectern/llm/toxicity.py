@@ -19,7 +19,9 @@ from lectern.llm.common import TERM_BYTES, prepare, token_hashes
 
 #: Terms are hashed to so many bits; the fit may use so many labelled rows and so many distinct terms.
 HASH_BITS, SAMPLE_ROWS, MAX_TERMS = 22, 20_000, 8192
-RANK, EPOCHS, RATE, L2, BATCH, MIN_ROWS = 4, 12, 0.15, 2e-4, 256, 5
+RANK, EPOCHS, RATE, PAIR_RATE, L2, BATCH, MIN_ROWS = 4, 40, 0.1, 0.05, 1e-4, 256, 5
+#: Bytes that make a longer word's stem, a term of its own: words of one family share it.
+STEM = 5
 #: Standard errors by which a term's share among toxic rows must differ for the term to enter the model.
 MIN_Z = 3.0
 
@@ -49,8 +51,8 @@ class Machine:
 
 
 def text_terms(text: str | None) -> np.ndarray:
-    """Distinct hashed terms of a text: lower-cased runs of letters and digits; null has none."""
-    hashed = token_hashes((text or "").lower().encode("utf-8"), TERM_BYTES)
+    """Distinct hashed terms of a text: lower-cased runs of letters and digits, and their stems; null has none."""
+    hashed = token_hashes((text or "").lower().encode("utf-8", "surrogatepass"), TERM_BYTES, STEM)
     return np.unique((hashed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
 
 
@@ -98,7 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             np.add.at(dv, t, error[row, None] * (s[row] - vt))
             dv += L2 * v
             gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-            bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv)
+            bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - PAIR_RATE * dv / np.sqrt(gv)
     return Machine(float(bias), terms[use], w, v)
 
 

@@ -5,14 +5,15 @@ order and hashed. Unlike plain MinHash, two texts share such a tuple only if the
 order, so the chance follows edit similarity. Documents that share a tuple are candidates, and candidates whose words
 align with at most 20 % edits (an edit distance in a band of that width) are linked. Linked documents form classes.
 
-Scale: equal texts collapse by digest first. Members of a bucket are compared with the bucket's least member and with
-their neighbour in the order of another tuple, never all with all, so candidates grow with documents. A bucket is
-met in salted parts and then over the parts' leaders, so one bucket may hold a third of all texts.
+Scale: equal texts collapse by digest first. Members of a bucket are compared with the bucket's least member; then
+neighbours in the order of another tuple are compared if they are not of one class yet. Never all with all, so
+candidates grow with documents. A large bucket is met in salted parts and then over the parts' leaders, so one bucket
+may hold a third of all texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,28 +159,37 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id {kind}, digest binary, n_words int, sigs array<long>")
 
 
-def _bucket_pairs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's members with its least one and with their neighbours; and the least ones."""
+def _stars(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's members with its least one; and the least ones."""
+    first = F.min(F.struct("rep", "n_words")).over(Window.partitionBy(*keys))
+    seen = rows.withColumn("to", first)
+    return _near(seen.filter(F.col("to.rep") != F.col("rep"))), seen.filter(F.col("to.rep") == F.col("rep")).drop("to")
+
+
+def _neighbours(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members of different classes that follow each other in a bucket; and one member for each bucket."""
     w = Window.partitionBy(*keys)
-    first = F.min(F.struct("rep", "n_words")).over(w)
-    seen = rows.withColumns({"first": first, "last": F.lag(F.struct("rep", "n_words")).over(w.orderBy("other", "n_words", "rep"))})
-    linked = seen.select("rep", "n_words", F.explode(F.array_compact(F.array("last", "first"))).alias("to"))
+    seen = rows.withColumns({"to": F.lag(F.struct("rep", "n_words", "class")).over(w.orderBy("other", "n_words", "rep")), "first": F.min("rep").over(w)})
+    return _near(seen.filter(F.col("to.class") != F.col("class"))), seen.filter(F.col("first") == F.col("rep")).drop("to", "first")
+
+
+def _near(linked: DataFrame) -> DataFrame:
     near = F.least("to.n_words", "n_words") >= SIMILARITY * F.greatest("to.n_words", "n_words")
-    pairs = linked.filter((F.col("to.rep") != F.col("rep")) & near).select(F.least("rep", "to.rep").alias("a"), F.greatest("rep", "to.rep").alias("b"))
-    return pairs, seen.filter(F.col("first.rep") == F.col("rep")).select("rep", "n_words", "sig", "other")
+    return linked.filter(near).select(F.least("rep", "to.rep").alias("a"), F.greatest("rep", "to.rep").alias("b"))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from ``nodes`` (rep, n_words, sigs): inside salted parts of buckets, then over their leaders."""
+def candidate_pairs(nodes: DataFrame, pick: Callable[[DataFrame, list[str]], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Distinct (a, b), a < b, that ``pick`` finds in the buckets: inside salted parts of large ones, then over the parts."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = nodes.select("rep", "n_words", F.posexplode("sigs").alias("i", "sig"), "sigs").select("rep", "n_words", "sig", F.element_at("sigs", (F.col("i") + 1) % ROWS + 1).alias("other"))
+    kept = [c for c in nodes.columns if c != "sigs"]
+    entries = nodes.select(*kept, F.posexplode("sigs").alias("i", "sig"), "sigs").select(*kept, "sig", F.element_at("sigs", (F.col("i") + 1) % ROWS + 1).alias("other"))
     hot = materialise(entries.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET).select("sig"), "hot-buckets")
     if hot.isEmpty():
-        return _bucket_pairs(entries, ["sig"])[0].distinct()
+        return pick(entries, ["sig"])[0].distinct()
     marked = entries.join(hot.withColumn("hot", F.lit(True)), "sig", "left")
     salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).otherwise(0))
-    inner, leaders = _bucket_pairs(salted, ["sig", "salt"])
-    outer, _ = _bucket_pairs(leaders.join(hot, "sig", "left_semi"), ["sig"])
+    inner, leaders = pick(salted, ["sig", "salt"])
+    outer, _ = pick(leaders.join(hot, "sig", "left_semi"), ["sig"])
     return inner.unionByName(outer).distinct()
 
 
@@ -242,8 +252,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sigs").alias("sigs"), F.count("*").alias("copies"))
     texts = materialise(texts, "distinct-texts")
     nodes = texts.filter("rep is not null and n_words > 0").select("rep", "n_words", "sigs")
-    found = materialise(candidate_pairs(nodes), "pairs")
-    classes = connected(materialise(verified(docs, found), "verified"))
+    stars = materialise(candidate_pairs(nodes, _stars), "pairs")
+    classes = connected(materialise(verified(docs, stars), "verified"))
+    # members that differ from their bucket's least one: neighbours of other classes, so what is linked stays unasked
+    classed = nodes.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "n_words", "sigs", F.coalesce("component", "rep").alias("class"))
+    more = materialise(verified(docs, materialise(candidate_pairs(classed, _neighbours), "pairs")), "verified")
+    of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a <> b")
+    merged = connected(joined).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    ends = classes.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    alone = merged.join(classes, merged["component"] == classes["id"], "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component"))
+    classes = materialise(ends.unionByName(alone), "classes")
     of_text = texts.select("digest", "rep", "copies").join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"), "copies")
     return rows.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "copies")
 

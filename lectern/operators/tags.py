@@ -21,10 +21,9 @@ def parse_reply(reply: Column) -> Column:
     JSON integer; a theme must not repeat.
     """
     text = F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    whole = F.expr("''") if reply is None else text
-    variant = F.try_parse_json(whole)
-    items = F.from_json(whole, "themes array<struct<theme:string,score:int>>")["themes"]
-    kinds = F.from_json(whole, "themes array<struct<theme:string,score:string>>")["themes"]
+    variant = F.try_parse_json(text)
+    items = F.from_json(text, "themes array<struct<theme:string,score:int>>")["themes"]
+    kinds = F.from_json(text, "themes array<struct<theme:string,score:string>>")["themes"]
     is_list = F.coalesce(F.schema_of_variant(F.try_variant_get(variant, "$.themes", "variant")).startswith("ARRAY"), F.lit(False))
     fits = F.forall(items, lambda x: x["theme"].isin(*dims.THEMES) & x["score"].isNotNull() & x["score"].between(1, 5))
     whole_numbers = F.forall(kinds, lambda x: x["score"].rlike("^-?[0-9]+$"))

@@ -36,7 +36,7 @@ ADAPTERS = {
     "sessions": """select book_id, chapter_id, chapter_index, section_kind, cast(idx as int) as session_index, line as text, cast({words} as int) as word_count,
         length(line) % 5 = 0 as is_cliffhanger, length(line) % 7 = 0 as has_prompt, chapter_id * 10000 + idx as session_id
         from {chapters} {lines}""",
-    "tags": """select session_id, book_id, chapter_id, chapter_index, session_index, {theme} as theme, cast(1 + (n * 5) % 5 as int) as base, cast(1 + (n * 3) % 5 as int) as score, n
+    "tags": """select session_id, book_id, chapter_id, chapter_index, session_index, {theme} as theme, cast(1 + (n * 2 + 1) % 5 as int) as base, cast(1 + (n * 3) % 5 as int) as score, n
         from (select *, row_number() over (partition by book_id order by chapter_index, session_index) as n from {sessions} where section_kind = 'story') s""",
     # every event is a reading session: k in 0..99 or so gives time, value gives words
     "reads": """select event_id, user_id, ts, event_type, cast(floor(value * 20) as int) as words, ({k} + 1) * 3000 as active_ms, cast(user_id % 20 as int) as book_id, value, {k} as k

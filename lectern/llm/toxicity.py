@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import TERM_BYTES, prepare, token_hashes
+from lectern.llm.common import TERM_BYTES, hashed_sample, materialise, prepare, token_hashes
 
 #: Terms are hashed to so many bits; the fit may use so many labelled rows and so many distinct terms.
 HASH_BITS, SAMPLE_ROWS, MAX_TERMS = 22, 20_000, 8192
-RANK, EPOCHS, RATE, PAIR_RATE, L2, BATCH, MIN_ROWS = 4, 40, 0.1, 0.05, 1e-4, 256, 5
+RANK, EPOCHS, RATE, PAIR_RATE, L2, BATCH, MIN_ROWS = 4, 40, 0.1, 0.05, 1e-4, 256, 3
 #: Bytes that make a longer word's stem, a term of its own: words of one family share it.
 STEM = 5
 #: Standard errors by which a term's share among toxic rows must differ for the term to enter the model.
@@ -56,38 +56,27 @@ def text_terms(text: str | None) -> np.ndarray:
     return np.unique((hashed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Adaptive-rate stochastic descent on the logistic loss; rows hold distinct hashed terms. The order is fixed."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray) -> Machine:
+    """Adaptive-rate stochastic descent on the logistic loss; rows hold indices into ``terms``, without repeats.
+
+    The order is fixed, so equal rows give an equal machine.
+    """
     n, toxic = len(rows), float(labels.sum())
-    base = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
-    none = Machine(base, np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)))
-    if not n or toxic in (0.0, float(n)):
-        return none
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    terms, index, total = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(index, weights=labels[owner], minlength=len(terms))
-    rate = toxic / n
-    z = (hits - total * rate) / np.sqrt(total * rate * (1 - rate) + 1e-9)
-    use = np.flatnonzero((total >= MIN_ROWS) & (np.abs(z) >= MIN_Z))
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")[:MAX_TERMS]])
-    if not len(use):
-        return none
-    place = np.full(len(terms), -1)
-    place[use] = np.arange(len(use))
-    at = place[index]
-    owner, at = owner[at >= 0], at[at >= 0]
-    start = np.searchsorted(owner, np.arange(n + 1))
+    bias = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
+    if not len(terms) or toxic in (0.0, float(n)):
+        return Machine(bias, np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)))
+    at = np.concatenate(rows).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(len(use)), rng.normal(0, 0.05, (len(use), RANK)), base
-    gw, gv, gb = np.full(len(use), 1e-6), np.full((len(use), RANK), 1e-6), 1e-6
+    w, v = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), RANK))
+    gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for b in range(0, n, BATCH):
             batch = np.sort(order[b : b + BATCH])
             size = start[batch + 1] - start[batch]
             row = np.repeat(np.arange(len(batch)), size)
-            t = at[np.concatenate([np.arange(start[i], start[i + 1]) for i in batch])] if size.sum() else np.empty(0, int)
+            t = at[np.concatenate([np.arange(start[i], start[i + 1]) for i in batch])]
             vt = v[t]
             s = np.zeros((len(batch), RANK))
             np.add.at(s, row, vt)
@@ -95,13 +84,23 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             logit = bias + np.bincount(row, weights=w[t], minlength=len(batch)) + 0.5 * ((s**2).sum(1) - squares)
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[batch]) / len(batch)
             db = error.sum()
-            dw = np.bincount(t, weights=error[row], minlength=len(use)) + L2 * w
+            dw = np.bincount(t, weights=error[row], minlength=len(terms)) + L2 * w
             dv = np.zeros_like(v)
             np.add.at(dv, t, error[row, None] * (s[row] - vt))
             dv += L2 * v
             gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
             bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - PAIR_RATE * dv / np.sqrt(gv)
-    return Machine(float(bias), terms[use], w, v)
+    return Machine(float(bias), terms, w, v)
+
+
+def telling_terms(sample: DataFrame) -> np.ndarray:
+    """Sorted terms whose share among toxic rows stands out, at most MAX_TERMS, from ``sample`` (toxic, terms)."""
+    total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    rate = (total["toxic"] or 0) / max(total["n"], 1)
+    counts = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
+    z = F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9)
+    best = counts.filter(F.col("n") >= MIN_ROWS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Fit on the labelled rows that are not held out, at most SAMPLE_ROWS of them, in the order of a hash of the id."""
     prepare(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = hashed_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", SAMPLE_ROWS)
     kind = dict(docs.dtypes)["doc_id"]
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,9 +120,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [text_terms(t).astype(np.int32) for t in batch["text"]]})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
-    sample = texts.select("doc_id", "toxic", "text").mapInPandas(terms, f"doc_id {kind}, toxic int, terms array<int>").toPandas()
-    sample = sample.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-    return fit([np.asarray(t, np.int64) for t in sample["terms"]], sample["toxic"].to_numpy(float))
+    sample = materialise(texts.select("doc_id", "toxic", "text").mapInPandas(terms, f"doc_id {kind}, toxic int, terms array<int>"), "toxic-sample")
+    telling = telling_terms(sample)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.searchsorted(telling, t[np.isin(t, telling)]).astype(np.int32) for t in batch["terms"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "found": found})
+
+    rows = sample.mapInPandas(told, f"doc_id {kind}, toxic int, found array<int>").toPandas()
+    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    return fit([np.asarray(f, np.int64) for f in rows["found"]], rows["toxic"].to_numpy(float), telling)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -1,0 +1,53 @@
+"""Model calls over passages: any callable from text to reply, with retries, checked as a column afterwards."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.operators.tags import parse_reply
+
+TRIES, LONGEST_WAIT = 5, 30.0
+
+
+def ask(rows: DataFrame, provider: Callable[[str], str], pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``rows`` (id, text) as (id, reply, error): each text goes to ``provider``, up to five times with growing pauses.
+
+    Errors name the kind of failure only, never what was sent.
+    """
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, text in zip(batch["id"], batch["text"], strict=True):
+                reply, error = None, None
+                for n in range(1, TRIES + 1):
+                    try:
+                        reply, error = provider(text), None
+                        break
+                    except Exception as e:  # any failure of the provider is a row's error
+                        error = type(e).__name__
+                        if n < TRIES:
+                            pause(min(5.0 * n, LONGEST_WAIT))
+                out.append((i, reply, error))
+            yield pd.DataFrame(out, columns=["id", "reply", "error"])
+
+    return rows.select("id", "text").mapInPandas(call, f"id {dict(rows.dtypes)['id']}, reply string, error string")
+
+
+def tag(rows: DataFrame, provider: Callable[[str], str], pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(id, status, themes): done with the reply's themes, or failed."""
+    asked = ask(rows, provider, pause).withColumn("themes", parse_reply(F.col("reply")))
+    return asked.select("id", F.when(F.col("themes").isNull(), "failed").otherwise("done").alias("status"), "themes")
+
+
+def recap(chunks: DataFrame, provider: Callable[[str], str], pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(chapter_id, recap): every chunk (chapter_id, n, text) is summed up, then the chapter's parts together."""
+    keyed = chunks.withColumn("id", F.concat_ws(":", F.col("chapter_id").cast("string"), F.col("n").cast("string")))
+    parts = ask(keyed, provider, pause).join(keyed.select("id", "chapter_id", "n"), "id")
+    joined = parts.groupBy("chapter_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "reply"))), lambda x: x["reply"]), "\n").alias("text"))
+    return ask(joined.withColumnRenamed("chapter_id", "id"), provider, pause).select(F.col("id").alias("chapter_id"), F.col("reply").alias("recap"))

@@ -65,7 +65,8 @@ def with_prompts(passages: Column, every: int = 3, skip_edges: bool = False) ->
     """Passages with has_prompt: at cliffhangers and every ``every``-th, or with ``skip_edges`` only every n-th inside."""
     last = F.size(passages) - 1
     inside = lambda i: (i > 0) & (i < last) & (i % every == 0)
-    return F.transform(passages, lambda p, i: p.withField("has_prompt", inside(i) if skip_edges else p["is_cliffhanger"] | ((i > 0) & (i % every == 0))))
+    flag = lambda p, i: inside(i) if skip_edges else p["is_cliffhanger"] | ((i > 0) & (i % every == 0))
+    return F.transform(passages, lambda p, i: p.withField("has_prompt", flag(p, i)))
 
 
 def conservative(passages: Column) -> Column:
@@ -106,7 +107,7 @@ def split_oversized(paragraph: Column, most: int) -> Column:
 def micro_sessions(chapter_text: Column, least: int = 400, most: int = 600) -> Column:
     """Passages of a chapter: paragraphs, oversized ones split, packed, with prompts."""
     ps = F.flatten(F.transform(T.paragraphs(chapter_text), lambda p: split_oversized(p, most)))
-    return _let(_let(ps, lambda p: pack(p, least, most)), with_prompts)
+    return _let(_let(ps, lambda p: pack(p, least, most)), lambda p: with_prompts(p))
 
 
 def headings(lines: DataFrame, style: int) -> DataFrame:

@@ -67,17 +67,17 @@ def agg_16_jn_12_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_TWO}, ids as (select distinct session_id from tags where book_id < 6), x as (select session_id, theme from two where score >= 3 and book_id < 6), y as (select session_id, theme from tags where base >= 3 and book_id < 6),
-    g as (select d.theme, exists (select 1 from x where x.session_id = ids.session_id and x.theme = d.theme) a, exists (select 1 from y where y.session_id = ids.session_id and y.theme = d.theme) b from ids, {_ORD}),
+    f"""with {_TWO}, ids as (select distinct session_id from tags), x as (select distinct session_id, theme from two where score >= 3), y as (select distinct session_id, theme from tags where base >= 3),
+    g as (select i.theme, x.theme is not null a, y.theme is not null b from (select session_id, d.theme from ids, {_ORD}) i left join x on x.session_id = i.session_id and x.theme = i.theme left join y on y.session_id = i.session_id and y.theme = i.theme),
     c as (select theme, count(*) n, count(*) filter (where a = b) same, count(*) filter (where a) pa, count(*) filter (where b) pb from g group by 1)
     select theme, n, same, pa, pb, case when not ((pa = n and pb = n) or (pa = 0 and pb = 0)) then (same / n::double - (pa * pb + (n - pa) * (n - pb)) / (n * n)::double) / (1 - (pa * pb + (n - pa) * (n - pb)) / (n * n)::double) end kappa from c""",
     "tags",
 )
 def agg_17_pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kappa of each theme of the closed list over the passages of some books: ids times the fourteen themes."""
-    rows = adapt(spark, sf_dir, "tags").filter("book_id < 6")
+    """Kappa of each theme of the closed list over all passages: ids times the fourteen themes."""
+    rows = adapt(spark, sf_dir, "tags")
     ids = rows.select("session_id").distinct().select("session_id", F.explode(F.array(*[F.lit(t) for t in dims.THEMES])).alias("theme"))
-    x = _two(spark, sf_dir).filter("book_id < 6 and score >= 3").select("session_id", "theme").distinct().withColumn("a", F.lit(True))
+    x = _two(spark, sf_dir).filter("score >= 3").select("session_id", "theme").distinct().withColumn("a", F.lit(True))
     y = rows.filter("base >= 3").select("session_id", "theme").distinct().withColumn("b", F.lit(True))
     both = ids.join(x, ["session_id", "theme"], "left").join(y, ["session_id", "theme"], "left").select("theme", F.coalesce("a", F.lit(False)).alias("a"), F.coalesce("b", F.lit(False)).alias("b"))
     return tags.kappa(both, ["theme"], F.col("a"), F.col("b"))
@@ -170,11 +170,11 @@ def agg_22_src_11_import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(
-    """select event_id, case event_id % 9 when 0 then 'romance:' || (1 + event_id % 5) when 1 then 'romance:5;war_conflict:2' end parsed from events where event_id < 4000""",
+    """select event_id, case event_id % 9 when 0 then 'romance:' || (1 + event_id % 5) when 1 then 'romance:5;war_conflict:2' end parsed from events""",
 )
 def jsn_02_05_reply_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies in nine forms; only the first two are valid."""
-    e = table(spark, sf_dir, "events").filter("event_id < 4000")
+    e = table(spark, sf_dir, "events")
     s = (1 + F.col("event_id") % 5).cast("string")
     one = lambda score: F.concat(F.lit('{"themes":[{"theme":"romance","score":'), score, F.lit("}]}"))
     forms = [

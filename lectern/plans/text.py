@@ -104,7 +104,10 @@ def src_05_str_18_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(blocks).alias("n_blocks"), F.md5(F.array_join(blocks, "\n")).alias("body_md5"))
 
 
-@query()
+@query(
+    """select doc_id, cast(i // 4 as int) chapter_index, 'CHAPTER ' || (i // 4 + 1) title, md5(regexp_replace(string_agg(line, chr(10) order by i), '^\\s+|\\s+$', '', 'g')) text_md5
+    from (select doc_id, unnest(l) line, unnest(range(len(l))) i from (select doc_id, string_split(text, chr(10)) l from documents)) group by doc_id, i // 4"""
+)
 def seg_01_02_09_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of documents whose every fourth line is made a heading."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("CHAPTER "), (i / 4 + 1).cast("int").cast("string"), F.lit("\n"), x)).otherwise(x))
@@ -112,7 +115,19 @@ def seg_01_02_09_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chapters(docs).select("doc_id", "chapter_index", "title", F.md5("text").alias("text_md5"))
 
 
-@query()
+_HAS = "len(list_filter([{}], lambda k: contains(t, k))) > 0"
+_KEYS = {name: _HAS.format(", ".join("'" + k.replace("'", "''") + "'" for k in keys)) for name, keys in (("front", segment.FRONT), ("back", segment.BACK))}
+
+
+@query(
+    f"""with a as (select book_id doc_id, chapter_index i, text, case when chapter_index = 0 then 'Contents' when chapter_index % 7 = 3 then 'Chapter ' || chapter_index else '' end title, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') l from chapters),
+    b as (select *, lower(coalesce(nullif(title, ''), case when length(l[1]) <= 80 then l[1] end, '')) t, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) w from a),
+    c as (select *, min(case when regexp_matches(t, '^\\s*(chapter|part|book|canto|stave|act)\\b\\s*[ivxlcdm0-9]') then i end) over (partition by doc_id) f, max(case when regexp_matches(t, '^\\s*(chapter|part|book|canto|stave|act)\\b\\s*[ivxlcdm0-9]') then i end) over (partition by doc_id) z, {_KEYS["front"]} front, {_KEYS["back"]} back from b),
+    d as (select doc_id, i, case when i < f then 'front_matter' when front and (f is null or i <= f) then 'front_matter' when i > z and back then 'back_matter' when back and w < 150 then 'back_matter' when front and w < 150 then 'front_matter'
+      when len(l) >= 6 and w < 6 * len(l) and w < 600 then case when z is null or i < z then 'front_matter' else 'back_matter' end else 'story' end kind from c)
+    select doc_id, section_kind, count(*) n from (select doc_id, case when bool_or(kind = 'story') over (partition by doc_id) then kind else 'story' end section_kind from d) group by 1, 2""",
+    "chapters",
+)
 def str_17_section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = adapt(spark, sf_dir, "chapters").select(F.col("book_id").alias("doc_id"), "chapter_index", F.when(F.col("chapter_index") == 0, "Contents").when(F.col("chapter_index") % 7 == 3, F.concat(F.lit("Chapter "), F.col("chapter_index"))).otherwise("").alias("title"), "text")
     return segment.classify(chapters).groupBy("doc_id", "section_kind").agg(F.count("*").alias("n"))

@@ -110,64 +110,66 @@ def micro_sessions(chapter_text: Column, least: int = 400, most: int = 600) -> C
     return _let(_let(ps, lambda p: pack(p, least, most)), lambda p: with_prompts(p))
 
 
-def headings(lines: DataFrame, style: int) -> DataFrame:
-    """Lines (doc_id, line_no, line) that are headings of one style, with number and title."""
-    pattern, number, title, _ = T.HEADINGS[style]
-    found = lines.filter(F.col("line").rlike(pattern))
-    return found.withColumns({"number": T.heading_number(F.regexp_extract("line", pattern, number)), "title": T.strip(F.regexp_extract("line", pattern, title))})
-
-
-def plausible(found: DataFrame) -> DataFrame:
-    """(doc_id) whose heading numbers start at 1 and mostly go up by one, at least three of them."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+def headings(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, line, …) that are headings, once for each style they fit, with style, number and title."""
+    fits = [
+        F.when(F.col("line").rlike(pattern), F.struct(F.lit(i).alias("style"), T.heading_number(F.regexp_extract("line", pattern, number)).alias("number"), T.strip(F.regexp_extract("line", pattern, title)).alias("title")))
+        for i, (pattern, number, title, _) in enumerate(T.HEADINGS)
+    ]
+    return lines.select("*", F.inline(F.array_compact(F.array(*fits))))
+
+
+def plausible(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys whose heading numbers start at 1 and mostly go up by one, at least three of them."""
+    w = Window.partitionBy(*keys).orderBy("line_no")
     steps = found.filter("number is not null").withColumns({"next": F.lead("number").over(w), "rn": F.row_number().over(w)})
-    good = steps.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("next") == F.col("number") + 1).alias("up"), F.max(F.when(F.col("rn") == 1, F.col("number"))).alias("first"))
-    return good.filter("n >= 3 and first = 1 and up >= n * 0.6").select("doc_id")
+    good = steps.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("next") == F.col("number") + 1).alias("up"), F.max(F.when(F.col("rn") == 1, F.col("number"))).alias("first"))
+    return good.filter("n >= 3 and first = 1 and up >= n * 0.6").select(*keys)
 
 
-def real_start(found: DataFrame, gap_words: int = 300) -> DataFrame:
-    """(doc_id, start_line): the last heading numbered 1 whose predecessors stand dense, as a table of contents does.
+def real_start(found: DataFrame, keys: tuple[str, ...] = ("doc_id",), gap_words: int = 300) -> DataFrame:
+    """``found`` with start_line: the last heading numbered 1 whose predecessors stand dense, as a table of contents does.
 
-    ``found`` has words_before, the running words of the document up to the heading's line.
+    ``found`` has words_before and words_upto, the running words of the document around the heading's line.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no")
+    w = Window.partitionBy(*keys).orderBy("line_no")
     gaps = found.withColumns({"gap": F.col("words_before") - F.lag("words_upto").over(w), "rn": F.row_number().over(w) - 1})
     dense = gaps.withColumn("widest", F.max("gap").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    restart = dense.withColumn("ok", (F.col("rn") == 0) | ((F.col("number") == 1) & ((F.col("rn") < 2) | (F.col("widest") < gap_words))))
-    return restart.filter("ok").groupBy("doc_id").agg(F.max("line_no").alias("start_line"))
+    restart = (F.col("rn") == 0) | ((F.col("number") == 1) & ((F.col("rn") < 2) | (F.col("widest") < gap_words)))
+    return dense.withColumn("start_line", F.max(F.when(restart, F.col("line_no"))).over(Window.partitionBy(*keys))).drop("gap", "rn", "widest")
 
 
 def chapters(docs: DataFrame) -> DataFrame:
     """(doc_id, chapter_index, title, text): the first heading style that yields more than one chapter, else one heading of a short text, else whole.
 
-    Lines carry running words; headings of every style are found in one pass over the lines, judged by document, and
-    lines then belong to the last heading before them. Long texts without headings are cut at 3,000 words. A lead-in of
-    over 50 words becomes an untitled first chapter, without what lists the contents.
+    One pass over the lines finds headings of every style, with the running words around them; which style holds is
+    judged from the headings alone; a second pass puts lines under the last heading before them. Long texts without
+    headings are cut at 3,000 words. A lead-in of over 50 words becomes an untitled first chapter.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    counted = lines.withColumn("w", T.word_count(F.col("line"))).withColumn("words_upto", F.sum("w").over(w)).withColumn("words_before", F.col("words_upto") - F.col("w"))
-    chosen: DataFrame | None = None
-    for style, (_, _, _, loose) in enumerate(T.HEADINGS):
-        found = headings(counted, style)
-        if loose:
-            found = found.join(plausible(found), "doc_id", "left_semi")
-        kept = found.join(real_start(found), "doc_id").withColumns({"toc": F.col("line_no") < F.col("start_line"), "style": F.lit(style)})
-        chosen = kept if chosen is None else chosen.unionByName(kept)
-    total = counted.groupBy("doc_id").agg(F.sum("w").alias("total"))
-    sized = chosen.groupBy("doc_id", "style").agg(F.count_if(~F.col("toc")).alias("n")).join(total, "doc_id")
+    counted = lines.withColumn("w", T.word_count(F.col("line"))).withColumns({"words_upto": F.sum("w").over(w), "total": F.sum("w").over(Window.partitionBy("doc_id"))})
+    found = headings(counted.withColumn("words_before", F.col("words_upto") - F.col("w")))
+    loose = F.col("style").isin(*[i for i, h in enumerate(T.HEADINGS) if h[3]])
+    keys = ("doc_id", "style")
+    trusted = found.filter(~loose).unionByName(found.filter(loose).join(plausible(found.filter(loose), keys), list(keys), "left_semi"))
+    kept = real_start(trusted, keys).withColumn("toc", F.col("line_no") < F.col("start_line"))
+    sized = kept.groupBy(*keys).agg(F.count_if(~F.col("toc")).alias("n"), F.max("total").alias("total"))
     best = sized.filter((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("total") < 15_000))).groupBy("doc_id").agg(F.min("style").alias("style"))
-    marks = chosen.join(best, ["doc_id", "style"])
+    marks = kept.join(best, list(keys)).select("doc_id", "line_no", "line", "number", "title", "toc")
     listed = marks.filter("toc and title <> '' and number is not null").groupBy("doc_id", "number").agg(F.max_by("title", "line_no").alias("listed"))
-    starts = marks.filter("not toc").join(listed, ["doc_id", "number"], "left").select("doc_id", "line_no", F.coalesce(F.nullif("title", F.lit("")), "listed", T.strip(F.col("line"))).alias("head"))
-    cut = counted.join(starts, ["doc_id", "line_no"], "left").join(best.select("doc_id", F.lit(True).alias("has")), "doc_id", "left").join(marks.groupBy("doc_id").agg(F.min("line_no").alias("first_mark")), "doc_id", "left")
-    numbered = cut.withColumn("c", F.count("head").over(w)).filter((F.col("c") > 0) | F.col("has").isNull() | (F.col("line_no") < F.col("first_mark")))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.when(F.col("head").isNull(), F.col("line")).alias("line")))), lambda x: x["line"]), "\n")
-    made = numbered.groupBy("doc_id", "c", "has").agg(F.max("head").alias("title"), T.strip(body).alias("text"))
-    made = made.filter((F.col("c") > 0) | F.col("has").isNull() | (T.word_count(F.col("text")) > 50))
-    pieces = F.when(F.col("has").isNull() & (T.word_count(F.col("text")) >= 15_000), F.transform(fixed_sections(T.paragraphs(F.col("text")), 3000), lambda s: s["text"])).otherwise(F.array("text"))
-    out = made.select("doc_id", "c", F.coalesce("title", F.lit("")).alias("title"), F.posexplode(pieces).alias("p", "text"))
-    return out.withColumn("chapter_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "p")) - 1).select("doc_id", "chapter_index", "title", "text")
+    own = marks.join(listed, ["doc_id", "number"], "left").withColumn("head", F.when(~F.col("toc"), F.coalesce(F.nullif("title", F.lit("")), "listed", T.strip(F.col("line")))))
+    #: for each document: its chapters' first lines and titles, and where the first mark stands
+    plan = own.groupBy("doc_id").agg(F.min("line_no").alias("first_mark"), F.sort_array(F.collect_list(F.when(F.col("head").isNotNull(), F.struct("line_no", "head")))).alias("starts"))
+    cut = docs.select("doc_id", F.split("text", "\n").alias("ls")).join(plan, "doc_id", "left")
+    piece = lambda a, b: T.strip(F.array_join(F.slice("ls", a + 1, F.greatest(b - a, F.lit(0))), "\n"))
+    upto = lambda i: F.coalesce(F.get("starts", i + 1)["line_no"], F.size("ls"))
+    bodies = F.transform("starts", lambda s, i: F.struct(s["head"].alias("title"), piece(s["line_no"] + 1, upto(i)).alias("text")))
+    lead_in = F.struct(F.lit("").alias("title"), piece(F.lit(0), F.col("first_mark")).alias("text"))
+    whole = T.strip(F.array_join("ls", "\n"))
+    fixed = F.when(T.word_count(whole) >= 15_000, F.transform(fixed_sections(T.paragraphs(whole), 3000), lambda s: F.struct(F.lit("").alias("title"), s["text"].alias("text")))).otherwise(F.array(F.struct(F.lit("").alias("title"), whole.alias("text"))))
+    made = F.when(F.col("starts").isNull(), fixed).when(T.word_count(lead_in["text"]) > 50, F.concat(F.array(lead_in), bodies)).otherwise(bodies)
+    return cut.select("doc_id", F.posexplode(made).alias("chapter_index", "c")).select("doc_id", "chapter_index", "c.title", "c.text")
 
 
 def classify(sections: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicates by Order MinHash and banded alignment.
 
-A text's five-word k-mers are numbered by occurrence; for each of ROWS random orders the two least are kept in text
+A text's five-word k-mers are numbered by occurrence (two-word ones as well in short texts); for each of ROWS random orders the two least are kept in text
 order and hashed. Unlike plain MinHash, two texts share such a tuple only if they hold the same k-mers in the same
 order, so the chance follows edit similarity. Documents that share a tuple are candidates, and candidates whose words
 align with at most 20 % edits (an edit distance in a band of that width) are linked. Linked documents form classes.
@@ -24,18 +24,20 @@ from pyspark.sql.window import Window
 from lectern.llm.common import materialise, mix, prepare, token_hashes
 
 K, ROWS, TUPLE = 5, 24, 2
+#: Texts under SHORT words also get rows over SHORT_K-word k-mers: one edit spoils most five-word ones of a short text.
+SHORT, SHORT_K = 64, 2
 SIMILARITY = 0.8
 #: Buckets with more texts are met in salted parts first; how many there are follows from this bound.
 HOT_BUCKET = 256
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_SEEDS = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 2 * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def kmers(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word k-mers; fewer than five words are one k-mer; no words, none."""
-    n, k = len(tokens), min(K, len(tokens))
+def kmers(tokens: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of the k-mers of ``k`` words; fewer words are one k-mer; no words, none."""
+    n, k = len(tokens), min(k, len(tokens))
     if not n:
         return tokens
     value = np.zeros(n - k + 1, np.uint64)
@@ -56,20 +58,24 @@ def occurrences(values: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(tokens: np.ndarray) -> np.ndarray:
-    """ROWS tuple hashes of a text's words; none for a text without words."""
-    grams = kmers(tokens)
-    if not len(grams):
+    """ROWS tuple hashes of a text's words, twice as many of a short text's; none for a text without words."""
+    if not len(tokens):
         return np.empty(0, np.uint64)
+    rows = _rows(kmers(tokens), _SEEDS[:ROWS])
+    return np.concatenate((rows, _rows(kmers(tokens, SHORT_K), _SEEDS[ROWS:]))) if len(tokens) < SHORT else rows
+
+
+def _rows(grams: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     labelled = mix(grams + (occurrences(grams) + np.uint64(1)) * _STEP)
     rows = []
     step = max(1, 2_000_000 // len(grams))  # rows of the hash matrix at a time, for very long texts
-    for r in range(0, ROWS, step):
-        ranks = mix(labelled[None, :] ^ _SEEDS[r : r + step, None])
+    for r in range(0, len(seeds), step):
+        ranks = mix(labelled[None, :] ^ seeds[r : r + step, None])
         if len(grams) > TUPLE:
             least = np.sort(np.argpartition(ranks, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
         else:
             least = np.tile(np.arange(len(grams)), (len(ranks), 1))
-        value = _SEEDS[r : r + step].copy()
+        value = seeds[r : r + step].copy()
         for j in range(least.shape[1]):
             value = mix(value * _STEP + grams[least[:, j]])
         rows.append(value)
@@ -182,7 +188,7 @@ def candidate_pairs(nodes: DataFrame, pick: Callable[[DataFrame, list[str]], tup
     """Distinct (a, b), a < b, that ``pick`` finds in the buckets: inside salted parts of large ones, then over the parts."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in nodes.columns if c != "sigs"]
-    entries = nodes.select(*kept, F.posexplode("sigs").alias("i", "sig"), "sigs").select(*kept, "sig", F.element_at("sigs", (F.col("i") + 1) % ROWS + 1).alias("other"))
+    entries = nodes.select(*kept, F.posexplode("sigs").alias("i", "sig"), "sigs").select(*kept, "sig", F.element_at("sigs", (F.col("i") + 1) % F.size("sigs") + 1).alias("other"))
     hot = materialise(entries.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET).select("sig"), "hot-buckets")
     if hot.isEmpty():
         return pick(entries, ["sig"])[0].distinct()
@@ -272,6 +278,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id, those with equal text stay as one; rows whose class is unknown (no doc_id) stay.
     """
-    found = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    found = near_duplicates(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_times"))
+    found = materialise(found, "kept")
+    kept = docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col("doc_id") == F.col("_keep"))
+    once = kept.filter("_times = 1").select(*[docs[c] for c in docs.columns])
+    if not found.filter("_times > 1").isEmpty():
+        once = once.unionByName(kept.filter("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.filter("doc_id is null"))

@@ -15,6 +15,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from lectern.llm.common import materialise, prepare, words
 
 #: Weights of the sources in order, repeating; the share of all sizes; the cap over a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-#: Documents that meet in one block of the flight phase on average.
-BLOCK = 4096
+#: Documents that meet in one block of the flight phase on average, and documents that a source's landing phase settles.
+BLOCK, LANDING = 4096, 14
 
 
 def size_of(text: Column) -> Column:
@@ -88,25 +89,45 @@ def flight(p: list[float], size: list[float], seed: str) -> None:
             open_ = [i for i in open_ if 0 < p[i] < 1]
 
 
-def landing(p: list[float], size: list[float], wanted: float) -> None:
-    """Settle what is open so that the words taken come as near to ``wanted`` as the few open documents allow."""
+def held_back(size: list[float], order: list[int]) -> list[int]:
+    """Up to LANDING documents for the landing phase: of those that have words, evenly spaced by rank of size.
+
+    Their sizes vary, so some choice of them and of what the flight leaves open meets a source's words almost exactly.
+    """
+    some = sorted((k for k in order if size[k] > 0), key=lambda k: (size[k], k))
+    step = max(1.0, len(some) / LANDING)
+    return [some[int(i * step)] for i in range(min(LANDING, len(some)))]
+
+
+def landing(p: list[float], size: list[float], words: float, docs: float) -> None:
+    """Settle what is open: the choice that comes nearest to the words and, less so, to the number of documents."""
     open_ = [k for k in range(len(p)) if 0 < p[k] < 1]
-    whole = sum(p[k] * size[k] for k in range(len(p)) if k not in set(open_))
-    best = min(range(1 << len(open_)), key=lambda bits: (abs(whole + sum(size[k] for j, k in enumerate(open_) if bits >> j & 1) - wanted), bits))
+    whole, n = np.zeros(1), np.zeros(1)
+    for k in open_:  # the sums of all choices, one document after the other
+        whole, n = np.concatenate((whole, whole + size[k])), np.concatenate((n, n + 1))
+    words -= math.fsum(a * b for a, b in zip(p, size, strict=True) if a in (0.0, 1.0))
+    docs -= sum(x == 1.0 for x in p)
+    scale = max(1.0, sum(size[k] for k in open_) / max(1, len(open_)))
+    best = int(np.argmin(np.abs(whole - words) / scale + 0.02 * np.abs(n - docs)))
     for j, k in enumerate(open_):
         p[k] = float(best >> j & 1)
 
 
 def _move(rows: DataFrame, keys: list[str], last: bool, seed: str) -> DataFrame:
-    """One flight over each block: rows (source, key, size, p); in the last one each source lands."""
+    """One flight over each block: rows (source, block, key, size, p); in the last one each source lands."""
 
     def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")  # the last ones open are small
         p, size = pdf["p"].tolist(), [float(x) for x in pdf["size"]]
-        wanted = math.fsum(a * b for a, b in zip(p, size, strict=True))
-        flight(p, size, f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}")
+        wanted = math.fsum(a * b for a, b in zip(p, size, strict=True)), math.fsum(p)
+        later = set(held_back(size, [k for k in range(len(p)) if 0 < p[k] < 1])) if last else set()
+        flying = [k for k in range(len(p)) if k not in later]
+        moved = [p[k] for k in flying]
+        flight(moved, [size[k] for k in flying], f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}")
+        for k, x in zip(flying, moved, strict=True):
+            p[k] = x
         if last:
-            landing(p, size, wanted)
+            landing(p, size, *wanted)
         return pdf.assign(p=p)[["source", "block", "key", "size", "p"]]
 
     return rows.groupBy(*keys).applyInPandas(per_block, "source string, block long, key string, size long, p double")

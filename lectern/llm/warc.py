@@ -2,7 +2,7 @@
 
 Archives follow the published Zstandard convention for WARC: a leading skippable frame holds the dictionary, and each
 record is a frame of its own, compressed with it, so any record can be read alone. The dictionary is trained on a
-bounded sample of the payloads to be archived. Equal payloads are stored once; the others become revisit records.
+bounded sample of the records. Equal payloads are stored once; the others become revisit records.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import fresh_path, materialise, prepare
+from lectern.llm.common import fresh_path, hashed_sample, materialise, prepare
 
 #: Magic numbers of the dictionary's skippable frame and of Zstandard frames.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-#: The dictionary: its size, and the payloads and bytes of each that it is trained on.
+#: The dictionary: its size, and the records and bytes of each one's payload that it is trained on.
 DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 1_000, 32_768
 #: A task starts a new archive after so many bytes.
 ROLL_BYTES = 64 << 20
@@ -147,8 +147,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     #: only payloads that repeat; sums meet before the shuffle, so one payload on many pages stays cheap
     first = own.groupBy("sha", F.octet_length("html").alias("size")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     known = own.join(first, (own["sha"] == first["sha"]) & (F.octet_length(own["html"]) == first["size"]), "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).alias("refers_to"))
-    sample = own.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")).limit(SAMPLE_ROWS)
-    dictionary = build_dictionary([bytes(r["b"]) for r in sample.collect()])
+    sample = hashed_sample(pages, "page_id", SAMPLE_ROWS).select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"))
+    cut = sample.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")).collect()
+    dictionary = build_dictionary([make_record(r["page_id"], r["url"], bytes(r["b"]), payload_digest(bytes(r["b"]))) for r in cut])
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
 

@@ -137,6 +137,100 @@ def merge_continuations(ps: Column) -> Column:
     return F.array_remove(F.split(F.array_join(marked, ""), "\u0001"), "")
 
 
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def split_groups(ls: Column) -> Column:
+    """array<array<string>>: lines grouped into paragraphs by indentation, each standalone heading alone.
+
+    Where some lines stand flush and others are indented by two or more, the kind of the first line starts paragraphs.
+    """
+    indent = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
+    mixed = F.exists(ls, lambda x: indent(x) == 0) & F.exists(ls, lambda x: indent(x) >= 2)
+    starts = lambda x: F.when(indent(ls[0]) == 0, indent(x) == 0).otherwise(indent(x) >= 2)
+    alone = lambda x: x.rlike(STANDALONE)
+    marked = F.transform(ls, lambda x, i: F.concat(F.when((i > 0) & ((mixed & starts(x)) | alone(x) | F.coalesce(alone(F.get(ls, i - 1)), F.lit(False))), F.lit("\u0001")).otherwise(""), x))
+    return F.transform(F.split(F.regexp_replace(F.array_join(marked, "\n"), "\n\u0001", "\u0001"), "\u0001"), lambda g: F.split(g, "\n"))
+
+
+def normalize_paragraphs(t: Column) -> Column:
+    """Blank-line-separated blocks as one paragraph each: wraps joined, verse and lists kept, broken sentences rejoined."""
+    trimmed = lambda ls: F.array_join(F.transform(ls, strip), "\n")
+    each = lambda g: F.when(is_verse_or_list(g), trimmed(g)).otherwise(join_wrapped(g))
+    block = lambda ls: F.when(is_verse_or_list(ls), F.array(trimmed(ls))).otherwise(F.transform(split_groups(ls), each))
+    blocks = F.transform(F.split(clean(t), r"\n[ \t]*\n"), lambda b: F.filter(F.split(b, "\n"), lambda x: strip(x) != ""))
+    ps = F.flatten(F.transform(F.filter(blocks, lambda ls: F.size(ls) > 0), lambda ls: _let(ls, block)))
+    joined = F.array_join(_let(ps, merge_continuations), "\n\n")
+    return strip(tidy_spacing(F.regexp_replace(joined, " {2,}", " ")))
+
+
+def normalize_uploaded(t: Column, source: str = "txt") -> Column:
+    """The upload pipeline's text: boilerplate off and paragraphs rejoined, or for ``epub`` only spacing tidied."""
+    if source == "epub":
+        return strip(tidy_spacing(F.regexp_replace(clean(t), " {2,}", " ")))
+    return normalize_paragraphs(strip_boilerplate(t))
+
+
+def repair_split_capitals(t: Column) -> Column:
+    """A first letter that extraction set apart, rejoined: up to three times, A and I only before an unpronounceable rest."""
+    out = F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)^\s+", "")
+    for _ in range(3):
+        out = F.regexp_replace(out, r"^([B-HJ-Z])\s+([A-Z]{2,}(?![A-Za-z])|[a-z]{2,}(?![A-Za-z]))", "$1$2")
+        out = F.regexp_replace(out, r"^([AI])\s+([B-DF-HJ-NP-TV-XZ]{2}[A-Z]*(?![A-Za-z])|[b-df-hj-np-tv-xz]{2}[a-z]*(?![A-Za-z]))", "$1$2")
+    return out
+
+
+#: Words that stand in prose and not in names, and signs that no name has.
+PROSE_WORDS = (
+    "a", "an", "the", "of", "to", "in", "on", "at", "by", "for", "from", "with", "that", "this", "these", "those", "it", "its", "their", "our", "we", "they",
+    "is", "are", "was", "were", "be", "been", "has", "have", "had", "can", "will", "would", "should", "may", "which", "when", "while", "where",
+    "according", "ensure", "using", "used", "based", "labeled", "labelled", "paper", "study", "dataset", "data", "method", "results", "propose",
+    "present", "show", "shows", "described", "credibility", "tactics",
+)
+NAME_TOKEN = r"^(?:[A-Z]\.|[A-Z][A-Za-z'’\-]*\.?|van|von|de|del|der|di|da|la|le|bin|al)$"
+NO_NAME = r"(?i)\d|@|https?://|[/:()\[\]{}<>+=*]|\b(universit\w*|institut\w*|department|dept|laborator\w*|college|school|faculty|centre|center|corp|inc|ltd|gmbh|abstract|keywords?|index terms)\b"
+
+
+def is_byline(t: Column) -> Column:
+    """Whether a line is a list of authors' names and not a sentence."""
+    bare = collapse(F.coalesce(t, F.lit("")))
+    names = F.filter(F.transform(F.split(bare, r"(?i),|;|\sand\s|\s&\s|·|\|"), strip), lambda x: x != "")
+    word = lambda x: x.rlike(r"^[A-Z]\.?$") | (~F.lower(F.regexp_replace(x, r"^\.+|\.+$", "")).isin(*PROSE_WORDS) & x.rlike(NAME_TOKEN))
+    fits = F.forall(names, lambda n: F.size(tokens(n)).between(1, 4) & F.forall(tokens(n), word))
+    plain = (bare != "") & (F.length(bare) <= 120) & ~bare.rlike(NO_NAME) & ~bare.rlike(r"[A-Za-z]{2,}\.(\s|$)") & ~bare.rlike("[,;:]$")
+    return plain & F.size(names).between(1, 12) & fits & ((F.size(names) > 1) | (F.size(tokens(names[0])) > 1))
+
+
+def paragraph_starts(t: Column) -> Column:
+    """array<struct<text, start>>: paragraphs between runs of two or more line feeds, with code point offsets."""
+    gaps = F.regexp_extract_all(t, F.lit("\n{2,}"), 0)
+    parts = F.split(t, "\n{2,}")
+    walked = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<text:string,start:int>>)").alias("out")),
+        lambda s, x: F.struct((s["at"] + F.length(x) + F.coalesce(F.length(F.get(gaps, s["i"])), F.lit(0))).alias("at"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(F.struct(x.alias("text"), s["at"].alias("start")))).alias("out")),
+    )
+    return walked["out"]
+
+
+def segments(full: Column, start: Column, text: Column, spans: Column) -> Column:
+    """array<struct<text, id>> of a paragraph at ``start``: cut by ``spans`` (array of id, start, end, quote).
+
+    Spans whose quote is not what stands there are skipped, and so is one that begins inside another already drawn.
+    """
+    end = start + F.length(text)
+    fresh = F.filter(spans, lambda h: (h["start"] >= 0) & (F.substr(full, h["start"] + 1, h["end"] - h["start"]) == h["quote"]))
+    cuts = F.array_sort(F.filter(F.transform(fresh, lambda h: F.struct(F.greatest(h["start"], start).alias("from"), F.least(h["end"], end).alias("upto"), h["id"].alias("id"))), lambda c: c["from"] < c["upto"]))
+    kind = "array<struct<text:string,id:bigint>>"
+    piece = lambda a, b, i: F.array(F.struct(F.substr(text, a - start + 1, b - a).alias("text"), i.cast("bigint").alias("id")))
+    none = F.expr(f"cast(array() as {kind})")
+    plain = lambda a, b: F.when(a < b, piece(a, b, F.lit(None))).otherwise(none).cast(kind)
+    step = lambda s, c: F.when(c["from"] < s["at"], s).otherwise(F.struct(c["upto"].alias("at"), F.concat(s["out"], plain(s["at"], c["from"]), piece(c["from"], c["upto"], c["id"]).cast(kind)).alias("out")))
+    done = F.aggregate(cuts, F.struct(start.alias("at"), none.alias("out")), step)
+    return _let(done, lambda d: F.concat(d["out"], plain(d["at"], end)))
+
+
 def safe_filename(name: Column) -> Column:
     base = F.regexp_extract(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
     return F.coalesce(F.nullif(F.substring(strip(F.regexp_replace(base, "[^A-Za-z0-9 ._-]", "")), 1, 120), F.lit("")), F.lit("upload"))

@@ -251,3 +251,76 @@ def test_models_retry(spark):
     got = {r.id: r.status for r in models.tag(rows, provider, lambda s: None).collect()}
     assert got == {1: "done", 2: "failed", 3: "failed"}
     assert {r.error for r in models.ask(rows, provider, lambda s: None).collect()} == {None, "TimeoutError"}
+
+
+def test_normalising(spark):
+    wrapped = "It was a long\nline that wraps won-\nderfully.\n\nCHAPTER 1\nThe next one\nbegins here.\n\n    An indented first line that is long enough to be prose\nand goes on at the margin.\n    Another paragraph that starts with an indent like this\nand goes on.\n\n- item one\n- item two\n- item three\n- item four"
+    got = one(spark, T.normalize_paragraphs(F.lit(wrapped)))
+    assert got.split("\n\n") == ["It was a long line that wraps wonderfully.", "CHAPTER 1", "The next one begins here.", "An indented first line that is long enough to be prose and goes on at the margin.", "Another paragraph that starts with an indent like this and goes on.", "- item one\n- item two\n- item three\n- item four"]
+    assert one(spark, T.normalize_uploaded(F.lit("a  b , c"), "epub")) == "a b, c"
+
+
+@pytest.mark.parametrize(("text", "want"), [("T HE Internet", "THE Internet"), ("T his paper", "This paper"), ("A MITRE map", "A MITRE map"), ("I NTRODUCTION", "INTRODUCTION"), ("T Hello", "T Hello"), ("vitamin C and", "vitamin C and"), ("A cat", "A cat")])
+def test_split_capitals(spark, text, want):
+    assert one(spark, T.repair_split_capitals(F.lit(text))) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("Jane Doe, Richard M. Roe and Ana de la Cruz", True), ("J. Smith", True), ("Methods", False), ("University of Somewhere", False), ("We propose a method for data", False), ("Honeypot and labeled according to Tactics.", False), ("", False)])
+def test_bylines(spark, text, want):
+    assert one(spark, T.is_byline(F.lit(text))) is want
+
+
+@pytest.mark.parametrize(("text", "size", "want"), [("1. Introduction", 10.0, True), ("evaluation", 10.0, False), ("Evaluation", 10.0, True), ("2.1 Our way of doing it", 10.0, True), ("1. We then ran the test.", 10.0, False), ("A big title", 12.0, True), ("plain prose goes on", 10.0, False), ("RESULTS AND MORE", 10.0, True), ("12", 10.0, False), ("Figure 1. A plot", 14.0, False)])
+def test_headings(spark, text, size, want):
+    assert one(spark, layout.is_heading(F.lit(text), F.lit(size), F.lit(10.0))) is want
+
+
+def test_research_sections(spark):
+    rows = [
+        (1, 1, 1, "text", True, 1, "A. Reader"), (1, 2, 1, "text", False, 1, "Some venue"), (1, 3, 1, "text", True, 1, "Abstract"), (1, 4, 1, "text", False, 1, "We looked at"), (1, 5, 1, "caption", False, 1, "Figure 1. X"),
+        (1, 6, 1, "text", False, 1, "things."), (1, 7, 2, "text", True, 1, "1. Method"), (1, 8, 2, "equation", False, 1, "x=1"), (1, 9, 2, "equation", False, 1, "y=2"), (1, 10, 2, "text", False, 1, "Done."),
+        (1, 11, 3, "text", True, 1, "References"), (1, 12, 3, "text", False, 1, "[1] A."), (1, 13, 3, "text", True, 1, "2. More"), (1, 14, 3, "text", False, 1, "tail"),
+        (2, 1, 1, "text", False, 1, "only text"),
+    ]
+    got = layout.sections(spark.createDataFrame(rows, "doc_id long, block_no int, page int, kind string, heading boolean, n_lines int, text string")).orderBy("doc_id", "section_no").collect()
+    assert [(r.doc_id, r.title, r.kind, r.text) for r in got] == [(1, "Abstract", "abstract", "We looked at things."), (1, "1. Method", "body", "[equation omitted]\n\nDone."), (1, "References", "references", "[1] A."), (1, "2. More", "references", "tail"), (2, "", "body", "only text")]
+    assert got[0].captions == ["Figure 1. X"]
+
+
+def test_merged_lines_are_cut_at_a_blank_gutter(spark):
+    def chars(text, x):
+        return [(x + 5.0 * i, x + 5.0 * i + 5.0, c) for i, c in enumerate(text)]
+
+    rows = [(1, 1, 0, "left right", 60.0, 345.0, 10.0, chars("left", 60.0) + chars("right", 320.0)), (1, 1, 1, "one whole line of text over all", 200.0, 360.0, 10.0, chars("one whole line of text over all", 200.0))]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, x0 double, x1 double, size double, chars array<struct<x0:double,x1:double,ch:string>>")
+    cols = spark.createDataFrame([(1, 1, [(60.0, 320.0), (320.0, 550.0)])], "doc_id long, page int, cols array<struct<x0:double,x1:double>>")
+    got = layout.split_merged(lines, cols).orderBy("line_no", "x0").collect()
+    assert [(r.line_no, r.text) for r in got] == [(0, "left"), (0, "right"), (1, "one whole line of text over all")]
+
+
+def test_segments(spark):
+    full = "ab\U0001f600d efg\n\nsecond part"
+    ps = one(spark, T.paragraph_starts(F.lit(full)))
+    assert [(p.text, p.start) for p in ps] == [("ab\U0001f600d efg", 0), ("second part", 10)]
+    spans = F.expr("array(named_struct('id', 1L, 'start', 2, 'end', 4, 'quote', '\U0001f600d'), named_struct('id', 2L, 'start', 3, 'end', 6, 'quote', 'd e'), named_struct('id', 3L, 'start', 0, 'end', 1, 'quote', 'x'), named_struct('id', 4L, 'start', 6, 'end', 13, 'quote', 'fg\n\nsec'))")
+    first = one(spark, T.segments(F.lit(full), F.lit(0), F.lit(ps[0].text), spans))
+    assert [(s.text, s.id) for s in first] == [("ab", None), ("\U0001f600d", 1), (" e", None), ("fg", 4)]
+    second = one(spark, T.segments(F.lit(full), F.lit(10), F.lit(ps[1].text), spans))
+    assert [(s.text, s.id) for s in second] == [("sec", 4), ("ond part", None)]
+
+
+def test_seeded_games():
+    from lectern.operators import breaks
+
+    draw = breaks.mulberry32(42)
+    assert [round(draw(), 6) for _ in range(3)] == [0.601104, 0.448291, 0.852466]
+    bag = breaks.rotation(["a", "b", "c", "d"], 12, 5)
+    assert all(sorted(bag[i : i + 4]) == ["a", "b", "c", "d"] for i in (0, 4, 8)) and all(x != y for x, y in zip(bag, bag[1:], strict=False))
+
+
+def test_word_ladder(spark):
+    from lectern.operators import breaks
+
+    words = spark.createDataFrame([(w,) for w in ("cat", "cot", "cog", "dog", "dot", "bird")], "word string")
+    got = {r.word: r.steps for r in breaks.ladder(breaks.one_letter_pairs(words), "cat", 4).collect()}
+    assert got == {"cat": 0, "cot": 1, "cog": 2, "dot": 2, "dog": 3}

@@ -14,6 +14,7 @@ HEADINGS = (
     (r"^[ \t]*([IVXLCDM]{1,7}|\d{1,3})\.[ \t]*(.*)$", 1, 2, True),
     (r"^[ \t]*([IVXLCDM]{1,7}|\d{1,3})[ \t]*()$", 1, 2, True),
 )
+#: Numerals, headings that stand alone, list marks, sentence ends, licence marks, page numbers.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 STANDALONE = r"(?i)^\s*(?:(?:chapter|part|book|canto|stave|act|section)\s+[ivxlcdm\d]+[.\s]*|epilogue|prologue|contents|preface|introduction|foreword|dedication|appendix|afterword|colophon)\s*$"
 LIST_MARKER = r"(?i)^\s*([-*•‣▪–—]|\(?\d{1,3}[.)]|\(?[ivxlcdm]{1,6}[.)])\s+"

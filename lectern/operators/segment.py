@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 
+#: Scene shifts, and ends that hold tension.
 SCENE_SHIFT = r"\n\s*(\*\s*\*\s*\*|-{3,}|_{3,})\s*\n"
 TENSION_END = r"""[?!]["'”’)\]]*\s*$|(—|--|\.\.\.|…)["”]?\s*$"""
 #: Words that name front and back matter.

@@ -86,7 +86,7 @@ def agg_17_pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_TWO}, a as (select session_id, list(distinct theme) s, max_by(theme, (score, -ordinal)) top from two join {_ORD} using (theme) where score >= 3 group by 1), b as (select session_id, list(distinct theme) s, max(theme) top from tags where base >= 3 group by 1),
     j as (select t.book_id, coalesce(a.s, []) x, coalesce(b.s, []) y, a.top ta, b.top tb from tags t left join a using (session_id) left join b using (session_id))
-    select book_id, count(*) n, cast(avg(case when ta is not null and ta = tb then 1.0 else 0.0 end) as double) top_match, avg(case when len(x) + len(y) = 0 then 1.0::double else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::double end) mean_overlap,
+    select book_id, count(*) n, cast(avg(case when ta is not null and ta = tb then 1.0 else 0.0 end) as double) top_match, cast(cast(cast(sum(cast(case when len(x) + len(y) = 0 then 1.0::double else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::double end as decimal(18,9))) as double) / count(*) as decimal(12,6)) as double) mean_overlap,
     cast(avg(case when ta is null then null when list_contains(y, ta) then 1.0 else 0.0 end) as double) top_in_other from j group by 1""",
     "tags",
 )
@@ -99,7 +99,7 @@ def agg_18_19_set_05_model_comparison(spark: SparkSession, sf_dir: str) -> DataF
     union, hit = F.size(F.array_union("x", "y")), F.coalesce(F.col("ta") == F.col("tb"), F.lit(False))
     overlap = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("x", "y")) / F.greatest(union, F.lit(1)))
     inside = F.when(F.col("ta").isNotNull(), F.array_contains("y", F.col("ta")).cast("double"))
-    return j.groupBy("book_id").agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("top_match"), F.avg(overlap).alias("mean_overlap"), F.avg(inside).alias("top_in_other"))
+    return j.groupBy("book_id").agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("top_match"), (F.sum(overlap.cast("decimal(18,9)")).cast("double") / F.count("*")).cast("decimal(12,6)").cast("double").alias("mean_overlap"), F.avg(inside).alias("top_in_other"))
 
 
 @query(

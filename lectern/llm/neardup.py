@@ -5,9 +5,9 @@ order and hashed. Unlike plain MinHash, two texts share such a tuple only if the
 order, so the chance follows edit similarity. Documents that share a tuple are candidates, and candidates whose words
 align with at most 20 % edits (an edit distance in a band of that width) are linked. Linked documents form classes.
 
-Scale: equal texts collapse by digest first. Members of a bucket are compared with the bucket's least member; then
-neighbours in the order of another tuple are compared if they are not of one class yet. Never all with all, so
-candidates grow with documents. A large bucket is met in salted parts and then over the parts' leaders, so one bucket
+Scale: equal texts collapse by digest first. Each text is compared with the least text that it shares a bucket with;
+then, where classes differ, members of a bucket with its least one and with their neighbour in the order of another
+tuple. Never all with all, so candidates grow with documents. A large bucket is met in salted parts and then over the parts' leaders, so one bucket
 may hold a third of all texts.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.common import materialise, mix, prepare, token_hashes
 
-K, ROWS, TUPLE = 5, 24, 2
+K, ROWS, TUPLE = 5, 32, 2
 #: Texts under SHORT words also get rows over SHORT_K-word k-mers: one edit spoils most five-word ones of a short text.
 SHORT, SHORT_K = 64, 2
 SIMILARITY = 0.8
@@ -167,16 +167,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _stars(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pairs of each bucket's members with its least one; and the least ones."""
-    first = F.min(F.struct("rep", "n_words")).over(Window.partitionBy(*keys))
-    seen = rows.withColumn("to", first)
+    seen = rows.withColumn("to", F.min(F.struct("rep", "n_words")).over(Window.partitionBy(*keys)))
     return _near(seen.filter(F.col("to.rep") != F.col("rep"))), seen.filter(F.col("to.rep") == F.col("rep")).drop("to")
 
 
-def _neighbours(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of members of different classes that follow each other in a bucket; and one member for each bucket."""
-    w = Window.partitionBy(*keys)
-    seen = rows.withColumns({"to": F.lag(F.struct("rep", "n_words", "class")).over(w.orderBy("other", "n_words", "rep")), "first": F.min("rep").over(w)})
-    return _near(seen.filter(F.col("to.class") != F.col("class"))), seen.filter(F.col("first") == F.col("rep")).drop("to", "first")
+def _across(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's members with its least one and with their neighbours, where classes differ; and the least ones."""
+    w, me = Window.partitionBy(*keys), F.struct("rep", "n_words", "class")
+    seen = rows.withColumns({"first": F.min(me).over(w), "last": F.lag(me).over(w.orderBy("other", "n_words", "rep"))})
+    linked = seen.select("rep", "n_words", "class", F.explode(F.array_compact(F.array("first", "last"))).alias("to"))
+    return _near(linked.filter(F.col("to.class") != F.col("class"))), seen.filter(F.col("first.rep") == F.col("rep")).drop("first", "last")
 
 
 def _near(linked: DataFrame) -> DataFrame:
@@ -258,11 +258,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sigs").alias("sigs"), F.count("*").alias("copies"))
     texts = materialise(texts, "distinct-texts")
     nodes = texts.filter("rep is not null and n_words > 0").select("rep", "n_words", "sigs")
-    stars = materialise(candidate_pairs(nodes, _stars), "pairs")
-    classes = connected(materialise(verified(docs, stars), "verified"))
-    # members that differ from their bucket's least one: neighbours of other classes, so what is linked stays unasked
+    # first each text with the least one that it shares a bucket with: one question links most of a group
+    stars = candidate_pairs(nodes, _stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    classes = connected(materialise(verified(docs, materialise(stars, "pairs")), "verified"))
+    # then every bucket again, but only across classes, so what is linked stays unasked
     classed = nodes.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "n_words", "sigs", F.coalesce("component", "rep").alias("class"))
-    more = materialise(verified(docs, materialise(candidate_pairs(classed, _neighbours), "pairs")), "verified")
+    more = materialise(verified(docs, materialise(candidate_pairs(classed, _across), "pairs")), "verified")
     of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a <> b")
     merged = connected(joined).select(F.col("id").alias("component"), F.col("component").alias("merged"))

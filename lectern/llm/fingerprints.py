@@ -8,20 +8,16 @@ falls with edit distance and not just with the shared vocabulary.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import let, words
+from lectern.llm.common import let, materialise, words
 
 K = 5
 BIN_BITS = 6
 #: Low bits of a packed value that hold the position; the rest identifies the k-mer.
 POSITION_BITS = 24
-#: Code points of text that one range of documents holds on average while each looks at its successor.
-RANGE_CHARS = 16_000_000
 
 
 def _id(x: Column) -> Column:
@@ -37,8 +33,17 @@ def _position(x: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1).cast("long"))
 
 
+def _first(ordered: Column, x: Column) -> Column:
+    """Index of the first ``x`` in a sorted array that has it: a scan of short arrays, halving in long ones."""
+    mid = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+    halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get(ordered, mid(s)) < x, F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi"))))
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(ordered).cast("long"))))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), halve)["lo"]
+    return F.when(F.size(ordered) < 2048, F.array_position(ordered, x).cast("int") - 1).otherwise(found)
+
+
 def signatures(text: Column) -> Column:
-    """array<bigint> of at most 64 tuple hashes; empty for a text without words. Fewer than five words are one k-mer."""
+    """array<int> of at most 64 tuple hashes; empty for a text without words. Fewer than five words are one k-mer."""
 
     def selected(key: Column) -> Column:
         def tuples(least: Column) -> Column:
@@ -47,10 +52,10 @@ def signatures(text: Column) -> Column:
             def pair(x: Column, j: Column) -> Column:
                 other = F.get(least, j + 1)
                 alone = other.isNull() | (bin_of(other) != bin_of(x))
-                return F.when((j > 0) & F.coalesce(bin_of(F.get(least, j - 1)) == bin_of(x), F.lit(False)), F.lit(None).cast("bigint")).otherwise(
-                    F.when(alone, F.xxhash64(bin_of(x), _id(x)))
-                    .when(_position(x) < _position(other), F.xxhash64(bin_of(x), _id(x), _id(other)))
-                    .otherwise(F.xxhash64(bin_of(x), _id(other), _id(x)))
+                return F.when((j > 0) & F.coalesce(bin_of(F.get(least, j - 1)) == bin_of(x), F.lit(False)), F.lit(None).cast("int")).otherwise(
+                    F.when(alone, F.hash(bin_of(x), _id(x)))
+                    .when(_position(x) < _position(other), F.hash(bin_of(x), _id(x), _id(other)))
+                    .otherwise(F.hash(bin_of(x), _id(other), _id(x)))
                 )
 
             return F.array_compact(F.transform(least, pair))
@@ -70,7 +75,7 @@ def signatures(text: Column) -> Column:
                 lambda d: F.transform(
                     s,
                     lambda x, j: _pack(
-                        F.xxhash64(_id(x), F.when(F.coalesce(F.get(d, j - 1) == _id(x), F.lit(False)), j + 1 - F.array_position(d, _id(x)).cast("int")).otherwise(F.lit(0))), _position(x)
+                        F.xxhash64(_id(x), F.when(F.coalesce(F.get(d, j - 1) == _id(x), F.lit(False)), j - _first(d, _id(x))).otherwise(F.lit(0))), _position(x)
                     ),
                 ),
             )
@@ -82,13 +87,13 @@ def signatures(text: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0)))
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
 
-    none = F.expr("cast(array() as array<bigint>)")
+    none = F.expr("cast(array() as array<int>)")
     return let(words(text), lambda w: F.when(F.size(w) == 0, none).otherwise(let(let(kmers(w), numbered), selected)))
 
 
 def fingerprint(signature: Column) -> Column:
     """A signature as text: its hashes in hexadecimal, sorted, so equal texts have equal fingerprints."""
-    return F.array_join(F.transform(F.sort_array(signature), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return F.array_join(F.transform(F.sort_array(signature), lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -96,44 +101,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, the columns, and next_<column> of the row that follows by doc_id, after the last the first.
+_LEAST = -(1 << 63)
+
+
+def _keys(docs: DataFrame, *more: Column) -> DataFrame:
+    """kid (the doc_id, the least long for null) and h (a hash of the text) of each row, and more."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST).cast("long")).alias("kid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *more)
 
-    Null ids come first; rows with the same id follow each other by text. Rows meet their successors in ranges of
-    doc_id, and each range also gets a copy of the next one's first row, so texts are shuffled once and no task sees
-    all rows. Bounds are doc_ids: a few for each RANGE_CHARS of text.
+
+def successors(docs: DataFrame) -> DataFrame:
+    """(kid, h, copies, sig, next_sig, prev_kid, prev_h, prev_n) for each distinct (doc_id, text), after the last one the first.
+
+    Signatures are made here, once. Keys without texts are range-partitioned and look to both sides inside their
+    partition; of each partition the last key and the first signature, one row, go to its neighbours.
     """
-    ids = docs.select("doc_id", F.length("text").alias("n"))
-    total = ids.agg(F.sum("n"), F.min("doc_id")).first()
-    ranges = max(1, math.ceil((total[0] or 0) / RANGE_CHARS))
-    wanted = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
-    bounds = sorted(set(wanted or []))
-    home = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    placed = docs.select("doc_id", *columns, F.when(F.col("doc_id").isNull(), 0).otherwise(home).alias("_range"))
-    firsts = placed.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()
-    if not firsts:
-        return placed.drop("_range").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    order = [r["_range"] for r in firsts]
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    least = docs.select("doc_id", F.when(F.col("doc_id").isNull(), 0).otherwise(home).alias("_range")).groupBy("_range").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()
-    first_id = {r["_range"]: None if r["nulls"] else r["id"] for r in least}
-    leads = F.lit(False)
-    for r, i in first_id.items():
-        leads = leads | ((F.col("_range") == r) & (F.col("doc_id").isNull() if i is None else F.col("doc_id") == F.lit(i)))
-    previous = F.element_at(F.create_map(*[F.lit(x) for r, p in before.items() for x in (r, p)]), F.col("_range"))
-    targets = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")), F.when(leads, F.struct(previous.alias("r"), F.lit(True).alias("ghost")))))
-    spread = placed.select("doc_id", *columns, F.inline(targets)).repartition(len(order), "r")
-    w = Window.partitionBy("r").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return spread.select("doc_id", *columns, "ghost", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).filter(~F.col("ghost")).drop("ghost")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = materialise(_keys(docs, F.length(F.coalesce("text", F.lit(""))).alias("n"), signatures(F.col("text")).alias("sig")), "signed")
+    keys = signed.groupBy("kid", "h").agg(F.max("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    placed = materialise(keys.repartitionByRange(parts, "kid", "h").withColumn("part", F.spark_partition_id()), "order")
+    inside, me = Window.partitionBy("part").orderBy("kid", "h"), F.struct("kid", "h", "n")
+    edges = placed.groupBy("part").agg(F.max(me).alias("last"), F.min_by("sig", F.struct("kid", "h")).alias("first_sig"))
+    ring = Window.orderBy("part")  # one row for each partition
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select("part", F.coalesce(F.lag("last").over(ring), F.last("last").over(whole)).alias("before_part"), F.coalesce(F.lead("first_sig").over(ring), F.first("first_sig").over(whole)).alias("after_part"))
+    rows = placed.withColumns({"before": F.lag(me).over(inside), "after": F.lead("sig").over(inside)}).join(F.broadcast(edges), "part")
+    prev = F.coalesce("before", "before_part")
+    return rows.select("kid", "h", "copies", "sig", F.coalesce("after", "after_part").alias("next_sig"), prev["kid"].alias("prev_kid"), prev["h"].alias("prev_h"), prev["n"].alias("prev_n"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text and sig of each row, with next_head and next_sig of the row that follows by doc_id.
+
+    next_head is as much of the next text as half of the own one has code points. Null texts are empty. Null ids come
+    first and count as the least long; rows with the same id follow each other by a hash of the text, equal rows one
+    after the other. Texts are shuffled once to meet their keys; only heads go on to the document before.
+    """
+    order = materialise(successors(docs), "successors")
+    texts = _keys(docs, F.coalesce("text", F.lit("")).alias("text"))  # no lambdas here: both uses share one exchange
+    copy = F.row_number().over(Window.partitionBy("kid", "h").orderBy("kid"))
+    met = texts.join(order.hint("merge"), ["kid", "h"]).withColumn("copy", copy)
+    heads = met.filter("copy = 1").select(F.col("prev_kid").alias("kid"), F.col("prev_h").alias("h"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"))
+    joined = met.select("kid", "h", "text", "sig", "next_sig", "copy", "copies").join(heads.hint("merge"), ["kid", "h"])
+    own, half = F.col("copy") < F.col("copies"), F.floor(F.length("text") / 2).cast("int")
+    return joined.select(
+        F.when(F.col("kid") != _LEAST, F.col("kid")).alias("doc_id"), "text", "sig",
+        F.when(own, F.left("text", half)).otherwise(F.col("head")).alias("next_head"), F.when(own, F.col("sig")).otherwise(F.col("next_sig")).alias("next_sig"),
+    )
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text (null: empty) and of its edited text, whose last half is the next document's start."""
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("text"), signatures(F.col("text")).alias("sig"))
-    pairs = with_next(own, ["text", "sig"])
+    pairs = with_next(docs.select("doc_id", "text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    edited = F.concat(F.left("text", n - half), "next_head")
     made = pairs.select("doc_id", "sig", "next_sig", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), signatures(e).alias("sig"))).alias("e"))
     return made.select(
         "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("e.sig")).alias("edited_fingerprint"),

@@ -116,7 +116,7 @@ def successors(docs: DataFrame) -> DataFrame:
     partition; of each partition the last key and the first signature, one row, go to its neighbours.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = materialise(_keys(docs, F.length(F.coalesce("text", F.lit(""))).alias("n"), signatures(F.col("text")).alias("sig")), "signed")
+    signed = _keys(docs, F.length(F.coalesce("text", F.lit(""))).alias("n"), signatures(F.col("text")).alias("sig"))
     keys = signed.groupBy("kid", "h").agg(F.max("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     placed = materialise(keys.repartitionByRange(parts, "kid", "h").withColumn("part", F.spark_partition_id()), "order")
     inside, me = Window.partitionBy("part").orderBy("kid", "h"), F.struct("kid", "h", "n")

@@ -24,6 +24,8 @@ from lectern.llm.common import fresh_path, hashed_sample, materialise, prepare
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: The dictionary: its size, and the records and bytes of each one's payload that it is trained on.
 DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 1_000, 32_768
+#: Repeated payloads up to this number (some 100 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 #: A task starts a new archive after so many bytes.
 ROLL_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -146,7 +148,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     own = pages.select("page_id", F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     #: only payloads that repeat; sums meet before the shuffle, so one payload on many pages stays cheap
     first = own.groupBy("sha", F.octet_length("html").alias("size")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    known = own.join(first, (own["sha"] == first["sha"]) & (F.octet_length(own["html"]) == first["size"]), "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    first = materialise(first, "repeated-payloads")
+    few = first.count() <= BROADCAST_ROWS  # else the pages are shuffled by digest, with skewed ones split
+    known = own.join(F.broadcast(first) if few else first, (own["sha"] == first["sha"]) & (F.octet_length(own["html"]) == first["size"]), "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).alias("refers_to"))
     sample = hashed_sample(pages, "page_id", SAMPLE_ROWS).select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"))
     cut = sample.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")).collect()
     dictionary = build_dictionary([make_record(r["page_id"], r["url"], bytes(r["b"]), payload_digest(bytes(r["b"]))) for r in cut])

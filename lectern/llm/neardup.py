@@ -5,10 +5,12 @@ order and hashed. Unlike plain MinHash, two texts share such a tuple only if the
 order, so the chance follows edit similarity. Documents that share a tuple are candidates, and candidates whose words
 align with at most 20 % edits (an edit distance in a band of that width) are linked. Linked documents form classes.
 
-Scale: equal texts collapse by digest first. Each text is compared with the least text that it shares a bucket with;
-then, where classes differ, members of a bucket with its least one and with their neighbour in the order of another
-tuple. Never all with all, so candidates grow with documents. A large bucket is met in salted parts and then over the parts' leaders, so one bucket
-may hold a third of all texts.
+Scale: equal texts collapse by digest first. Cheap questions come first, because texts of one class need not be
+compared again: each text with the least text that it shares a bucket with; then, where classes differ, members of a
+bucket with its least one and with their neighbour in the order of another tuple (large buckets in salted parts); then
+with the bucket's most connected one. The rest is exact: every pair of a bucket whose classes still differ is asked,
+unless word counts in BINS bins show that it has too many edits. So classes are the connected parts of all alike pairs
+that share a bucket, whatever the partitions. Large buckets are met there in pairs of blocks, which bounds every task.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ SIMILARITY = 0.8
 HOT_BUCKET = 256
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: Words are counted in so many bins by hash; the counts bound an edit distance from below.
+BINS = 64
+#: Texts of a bucket in a block; what is left of a bucket is asked in pairs of blocks.
+BLOCK = 256
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(1, 2 * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -123,12 +129,28 @@ def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, lim
     return out
 
 
+def bag(tokens: np.ndarray) -> bytes:
+    """Word counts in BINS bins as 16-bit numbers; greater ones are cut, which keeps the bound below a bound."""
+    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+
+
+def _spread(words: np.ndarray) -> np.ndarray:
+    """Word counts in 1,024 bins of 32-bit hashes."""
+    return np.bincount(np.asarray(words, np.int64) & 1023, minlength=1024)
+
+
+def _least_edits(differences: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance from differences of counts in bins: an edit takes away one word, adds one or both."""
+    more = np.maximum(differences, 0).sum(axis=1)
+    return np.maximum(more, more - differences.sum(axis=1))
+
+
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
     """Which pairs align with at most (1 - similarity) * the longer one's words of edits."""
-    longer = np.array([max(len(a), len(b)) for a, b in pairs])
+    longer = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
     limits = np.floor((1 - similarity) * longer + 1e-9).astype(np.int32)
     found = np.zeros(len(pairs), bool)
-    todo = np.arange(len(pairs))
+    todo = np.flatnonzero([_least_edits((_spread(a) - _spread(b))[None, :])[0] <= limit for (a, b), limit in zip(pairs, limits, strict=True)])
     for narrow in (True, False):  # a narrow band settles most true pairs
         order = todo[np.argsort(longer[todo], kind="stable")]
         at = 0
@@ -145,7 +167,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the whole text; null counts as empty), n_words, sigs for each row."""
+    """doc_id, digest (of the whole text; null counts as empty), n_words, sigs, bag for each row."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -153,16 +175,17 @@ def signatures(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            digests, counts, sigs = [], [], []
+            digests, counts, sigs, bags = [], [], [], []
             for text in batch["text"]:
                 data = (text or "").encode("utf-8")
                 tokens = token_hashes(data)
                 digests.append(xxhash.xxh3_128_digest(data))
                 counts.append(len(tokens))
                 sigs.append(order_minhash(tokens).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n_words": counts, "sigs": sigs})
+                bags.append(bag(tokens))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n_words": counts, "sigs": sigs, "bag": bags})
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id {kind}, digest binary, n_words int, sigs array<long>")
+    return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id {kind}, digest binary, n_words int, sigs array<long>, bag binary")
 
 
 def _stars(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -199,6 +222,75 @@ def candidate_pairs(nodes: DataFrame, pick: Callable[[DataFrame, list[str]], tup
     return inner.unionByName(outer).distinct()
 
 
+def open_entries(nodes: DataFrame) -> DataFrame:
+    """rep, n_words, bag, class, sig, n for members of buckets (n texts each) that hold more than one class."""
+    entries = nodes.select("rep", "n_words", "bag", "class", F.explode("sigs").alias("sig"))
+    some = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig", "n")
+    return materialise(entries.join(some, "sig"), "open")
+
+
+def central_pairs(entries: DataFrame) -> DataFrame:
+    """Distinct (a, b) of each open bucket's members with its most connected one, where classes differ.
+
+    A text that many others were made from shares most buckets with most of them, so asking it first joins them all.
+    """
+    ties = entries.groupBy("rep").agg(F.sum("n").alias("ties"))
+    leaders = entries.join(ties, "rep").groupBy("sig").agg(F.max(F.struct("ties", "rep", "n_words", "class")).alias("to"))
+    return _near(entries.join(leaders, "sig").filter(F.col("to.class") != F.col("class"))).distinct()
+
+
+def remaining_pairs(entries: DataFrame) -> DataFrame:
+    """All distinct (a, b) of open buckets whose classes differ and whose word counts allow few enough edits.
+
+    A bucket's texts are dealt to blocks of about BLOCK, classes of more than BLOCK texts to blocks of their own, and
+    each two blocks meet once, except two blocks of one class.
+    """
+    kind = dict(entries.dtypes)["rep"]
+    sizes = entries.groupBy("sig", "class").agg(F.count("*").alias("of_class"))
+    small = entries.join(sizes, ["sig", "class"]).withColumn("own", F.when(F.col("of_class") > BLOCK, F.col("class").cast("string")))
+    parts = F.ceil(F.when(F.col("own").isNotNull(), F.col("of_class")).otherwise(F.col("n")) / BLOCK)
+    dealt = materialise(small.withColumn("block", F.concat_ws("/", F.coalesce("own", F.lit("")), F.pmod(F.xxhash64("rep"), parts).cast("string"))).drop("of_class", "n"), "blocks")
+    blocks = materialise(dealt.select("sig", "block", "own").distinct(), "block-names")
+    left, right = (blocks.select("sig", F.col("block").alias(x), F.col("own").alias(f"{x}_own")) for x in ("i", "j"))
+    meetings = left.join(right, "sig").filter((F.col("i") <= F.col("j")) & (F.col("i_own").isNull() | F.col("j_own").isNull() | (F.col("i_own") != F.col("j_own"))))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))
+    seats = meetings.select("sig", F.xxhash64("sig", "i", "j").alias("meeting"), F.inline(sides))
+    seated = dealt.join(seats, ["sig", "block"]).select("meeting", "side", "rep", "n_words", "bag", "class")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            whole = batch["meeting"] != batch["meeting"].iloc[-1]  # the last meeting may go on in the next batch
+            held = batch[~whole]
+            if whole.any():
+                yield _allowed(batch[whole])
+        if held is not None:
+            yield _allowed(held)
+
+    return seated.repartition("meeting").sortWithinPartitions("meeting").mapInPandas(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _allowed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) within the meetings of ``rows`` (sorted by them): of other sides and classes, with few enough edits by counts."""
+    meeting, side, n_words, rep = (rows[c].to_numpy() for c in ("meeting", "side", "n_words", "rep"))
+    bags = np.frombuffer(b"".join(rows["bag"]), "<u2").reshape(-1, BINS).astype(np.int32)
+    classes = pd.factorize(rows["class"])[0]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = 1
+    while len(x := np.flatnonzero(meeting[:-step] == meeting[step:])):
+        y = x + step
+        longer = np.maximum(n_words[x], n_words[y])
+        ask = (classes[x] != classes[y]) & ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(n_words[x], n_words[y]) >= SIMILARITY * longer)
+        x, y, limits = x[ask], y[ask], np.floor((1 - SIMILARITY) * longer[ask] + 1e-9)
+        ask = _least_edits(bags[x] - bags[y]) <= limits
+        found.append((x[ask], y[ask]))
+        step += 1
+    x, y = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    a, b = rep[x], rep[y]
+    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}).drop_duplicates()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (a, b): the least id that it is connected to.
 
@@ -247,6 +339,16 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInPandas(check, f"a {kind}, b {kind}")
 
 
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (id, component) after the links (a, b) have joined some of them; ids without a row are on their own."""
+    of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a <> b")
+    merged = connected(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    ends = classes.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
+    alone = merged.join(classes, merged["component"] == classes["id"], "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component"))
+    return materialise(ends.unionByName(alone), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the class's least doc_id), copies (rows with equal text).
 
@@ -255,21 +357,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are ignored and an empty table gives no rows.
     """
     rows = materialise(signatures(docs), "signatures")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sigs").alias("sigs"), F.count("*").alias("copies"))
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sigs").alias("sigs"), F.first("bag").alias("bag"), F.count("*").alias("copies"))
     texts = materialise(texts, "distinct-texts")
-    nodes = texts.filter("rep is not null and n_words > 0").select("rep", "n_words", "sigs")
+    nodes = texts.filter("rep is not null and n_words > 0").select("rep", "n_words", "sigs", "bag")
     # first each text with the least one that it shares a bucket with: one question links most of a group
-    stars = candidate_pairs(nodes, _stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    classes = connected(materialise(verified(docs, materialise(stars, "pairs")), "verified"))
-    # then every bucket again, but only across classes, so what is linked stays unasked
-    classed = nodes.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "n_words", "sigs", F.coalesce("component", "rep").alias("class"))
-    more = materialise(verified(docs, materialise(candidate_pairs(classed, _across), "pairs")), "verified")
-    of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
-    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a <> b")
-    merged = connected(joined).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    ends = classes.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
-    alone = merged.join(classes, merged["component"] == classes["id"], "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component"))
-    classes = materialise(ends.unionByName(alone), "classes")
+    stars = candidate_pairs(nodes.drop("bag"), _stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    asked = materialise(stars, "pairs")
+    classes = connected(materialise(verified(docs, asked), "verified"))
+    # then every bucket again, but only across classes, so what is linked stays unasked; the last time no pair is left out
+    classed = lambda: nodes.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "n_words", "sigs", "bag", F.coalesce("component", "rep").alias("class"))
+    for pairs_of in (lambda: candidate_pairs(classed().drop("bag"), _across), lambda: central_pairs(open_entries(classed())), lambda: remaining_pairs(open_entries(classed()))):
+        pairs = materialise(pairs_of().join(asked, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            classes = joined(classes, materialise(verified(docs, pairs), "verified"))
+            asked = asked.unionByName(pairs)
     of_text = texts.select("digest", "rep", "copies").join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"), "copies")
     return rows.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "copies")
 

@@ -106,6 +106,27 @@ def test_large_bucket_is_salted_and_whole(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+def hub_and_versions(n: int, rng: random.Random, places: int = 1) -> list[tuple[int, str]]:
+    """An article and n versions, each with 90 of its 490 words rewritten, in so many places; other places are too many edits."""
+    base, long = [f"w{i}" for i in range(490)], 90 // places
+    rows = [(n // 2, " ".join(base))]
+    for i in (x for x in range(n + 1) if x != n // 2):
+        words = list(base)
+        for k in range(places):
+            at = k * 490 // places + rng.randrange(490 // places - long)
+            words[at : at + long] = [f"e{rng.randrange(10**9)}" for _ in range(long)]
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_versions_of_one_article_are_one_class(spark):
+    rows = hub_and_versions(250, random.Random(3), places=2)
+    words = {i: common.token_hashes(t.encode()) for i, t in rows}
+    assert all(neardup.similar([(words[125], w) for w in words.values()])) and not neardup.similar([(words[0], words[1])])[0]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0}
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(awkward).collect())
     assert sum(got.values()) == len(awkward_rows())

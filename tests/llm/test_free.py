@@ -127,6 +127,31 @@ def test_versions_of_one_article_are_one_class(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_every_alike_pair_of_a_bucket_is_linked(spark, monkeypatch):
+    """However large buckets are cut, classes are the connected parts of all alike pairs that share a bucket."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(6)
+    rows = [(i, t) for i, t in hub_and_versions(90, rng) if i != 45]  # no article, so that versions hold together only where places are near
+    words = {i: common.token_hashes(t.encode()) for i, t in rows}
+    sigs = {i: set(neardup.order_minhash(w).tolist()) for i, w in words.items()}
+    label = {i: i for i in words}
+    for a in words:
+        for b in words:
+            if a < b and sigs[a] & sigs[b] and neardup.similar([(words[a], words[b])])[0]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for hot, partitions in ((256, before), (4, "7")):
+        monkeypatch.setattr(neardup, "HOT_BUCKET", hot)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == label
+
+
 def test_near_duplicates_of_awkward_rows(spark, awkward, nothing):
     got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(awkward).collect())
     assert sum(got.values()) == len(awkward_rows())

@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values: (phase, event) -> next phase; other events change nothing.
+#: Fixed values: (phase, action) -> next phase; other actions change nothing. How a game may have ended.
 PHASES = {
-    ("idle", "due"): "due", ("due", "offer"): "offered", ("offered", "accept"): "playing", ("offered", "dismiss"): "idle",
-    ("playing", "end"): "ended", ("ended", "close"): "idle", ("due", "cancel"): "idle",
+    ("idle", "MARK_DUE"): "due", ("due", "CANCEL_DUE"): "idle", ("due", "SHOW_OFFER"): "offered", ("offered", "ACCEPT"): "playing",
+    ("offered", "DECLINE"): "idle", ("playing", "FINISH"): "ended", ("ended", "DONE"): "idle",
 }
+OUTCOMES = ("solved", "shown_solution", "skipped", "time_cap")
+MIN_ROUNDS, MAX_ROUNDS = 3, 4
 
 
-def phase(events: Column) -> Column:
-    """The phase after an array of events, starting idle: a fold over a lookup."""
+def phase(actions: Column) -> Column:
+    """Struct of phase and outcome after an array of actions (type, outcome), starting idle: a fold over a lookup.
+
+    FINISH counts only with a known outcome, which stays until the machine is idle again.
+    """
     table = F.create_map(*[F.lit(x) for (p, e), n in PHASES.items() for x in (f"{p}:{e}", n)])
-    return F.aggregate(events, F.lit("idle"), lambda s, e: F.coalesce(table[F.concat_ws(":", s, e)], s))
+
+    def step(s: Column, a: Column) -> Column:
+        valid = (a["type"] != "FINISH") | F.coalesce(a["outcome"].isin(*OUTCOMES), F.lit(False))
+        after = F.when(valid, table[F.concat_ws(":", s["phase"], a["type"])])
+        outcome = F.when(after.isNull(), s["outcome"]).when(after == "ended", a["outcome"])
+        return F.struct(F.coalesce(after, s["phase"]).alias("phase"), outcome.alias("outcome"))
+
+    return F.aggregate(actions, F.struct(F.lit("idle").alias("phase"), F.lit(None).cast("string").alias("outcome")), step)
+
+
+def round_count(multi_round: Column, seed: Column) -> Column:
+    """Rounds of a break: one, or three to four by the seed for games of several rounds."""
+    return F.when(F.coalesce(multi_round, F.lit(False)), MIN_ROUNDS + F.floor(seed / 2) % (MAX_ROUNDS - MIN_ROUNDS + 1)).otherwise(1).cast("int")
+
+
+def round_seed(seed: Column, number: Column) -> Column:
+    """The seed of a round, counted from 0: one after the other, in 32 bits."""
+    return (seed + number).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
 def mulberry32(seed: int):

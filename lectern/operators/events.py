@@ -17,18 +17,20 @@ def sample_wpm(words: Column, active_ms: Column) -> Column:
 
 
 def pace(reads: DataFrame) -> DataFrame:
-    """(user_id, n_samples, wpm_recent, wpm_rolling, trend): newest PACE_FETCH by id first, then the plausible ones of these."""
+    """(user_id, n_samples, wpm_recent, wpm_rolling, trend, is_estimate): newest PACE_FETCH by id first, then the plausible ones of these.
+
+    The trend compares the means as shown, to one digit; without samples it is steady and the pace an estimate.
+    """
     newest = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
     fetched = reads.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= dims.PACE_FETCH)
     valid = fetched.withColumn("wpm", sample_wpm(F.col("words"), F.col("active_ms"))).filter("wpm is not null")
-    ranked = valid.withColumn("vn", F.row_number().over(newest))
-    mean = lambda n: F.avg(F.when(F.col("vn") <= n, F.col("wpm").cast("decimal(18,6)"))).cast("decimal(18,6)")
+    ranked = valid.withColumn("vn", F.row_number().over(newest)).filter(F.col("vn") <= dims.PACE_ROLLING)
+    mean = lambda n: F.round(F.avg(F.when(F.col("vn") <= n, F.col("wpm").cast("decimal(18,6)"))).cast("decimal(18,6)"), 1)
     means = ranked.groupBy("user_id").agg(F.count("*").alias("n_samples"), mean(dims.PACE_RECENT).alias("recent"), mean(dims.PACE_ROLLING).alias("rolling"))
     band = F.lit(dims.PACE_BAND).cast("decimal(4,2)")
     trend = F.when(F.col("recent") > F.col("rolling") * (1 + band), "faster").when(F.col("recent") < F.col("rolling") * (1 - band), "slower").otherwise("steady")
     users = reads.select("user_id").distinct().join(means, "user_id", "left")
-    one = lambda c: F.round(c, 1).cast("double")
-    return users.select("user_id", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), one(F.col("recent")).alias("wpm_recent"), one(F.col("rolling")).alias("wpm_rolling"), F.when(F.col("recent").isNull(), "estimate").otherwise(trend).alias("trend"))
+    return users.select("user_id", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.col("recent").cast("double").alias("wpm_recent"), F.col("rolling").cast("double").alias("wpm_rolling"), trend.alias("trend"), F.col("recent").isNull().alias("is_estimate"))
 
 
 def streaks(days: DataFrame) -> DataFrame:
@@ -39,6 +41,15 @@ def streaks(days: DataFrame) -> DataFrame:
     return runs.groupBy("user_id").agg(F.max_by("n", "last_day").alias("current_streak"), F.max("n").alias("longest_streak"), F.max("last_day").alias("last_day"))
 
 
+def active_ms(started: Column, ended: Column, hidden: Column) -> Column:
+    """Milliseconds that a session was in view: from start to end without the array of hidden spans (from, to).
+
+    A span that is still open (``to`` is null) ends with the session; the result is never negative.
+    """
+    away = F.aggregate(F.coalesce(hidden, F.expr("cast(array() as array<struct<from:bigint,to:bigint>>)")), F.lit(0).cast("long"), lambda a, s: a + F.coalesce(s["to"], ended) - s["from"])
+    return F.greatest(F.lit(0).cast("long"), ended - started - away)
+
+
 def live_streak(current: Column, last_day: Column, today: Column) -> Column:
     """The streak as shown on a day: only today's and yesterday's reading keep it."""
     return F.when(F.datediff(today, last_day).isin(0, 1), current).otherwise(0)

@@ -58,27 +58,53 @@ def size_level(completed: Column) -> Column:
     return out
 
 
-def reached(numbered_sessions: DataFrame, completions: DataFrame) -> DataFrame:
-    """(user_id, book_id, reached_no): the furthest passage that a completed block of ``words_read`` words covers.
+def block_ends(sessions: DataFrame) -> DataFrame:
+    """(book_id, session_no, merges): how many passages a block of the greatest size that starts here merges.
 
-    A block starts at its session and extends to the first passage whose running words reach start + words_read; past
-    the end it stops at the last passage. The range join runs on book and running words.
+    Smaller blocks stop at the same places, so a block of any size merges the lesser of the two numbers.
     """
-    ends = numbered_sessions.select("book_id", "session_id", "session_no", "words_before", (F.col("words_before") + F.col("word_count")).alias("words_upto"), "total_words")
-    starts = completions.join(ends.select("book_id", F.col("session_no").alias("start_no"), F.col("words_before").alias("start_words"), "total_words"), ["book_id", "start_no"])
-    goal = starts.withColumn("goal", F.least(F.col("start_words") + F.greatest("words_read", F.lit(1)), F.col("total_words")))
-    e = ends.select(F.col("book_id").alias("b"), "session_no", F.col("words_before").alias("lo"), F.col("words_upto").alias("hi"))
-    hit = goal.join(e, (F.col("book_id") == F.col("b")) & (F.col("goal") > F.col("lo")) & (F.col("goal") <= F.col("hi")))
-    return hit.groupBy("user_id", "book_id").agg(F.max(F.greatest("session_no", "start_no")).alias("reached_no"))
+    return blocks(sessions, max(level for _, level in dims.SIZE_LEVELS)).select("book_id", "session_no", F.col("n_merged").alias("merges"))
+
+
+def reached(sessions: DataFrame, readers: DataFrame, completions: DataFrame) -> DataFrame:
+    """(user_id, book_id, reached_no): the furthest passage that a reader may see tags of, counted from 1.
+
+    ``readers`` has user_id, book_id, current_no (null or unknown: not started) and size; ``completions`` user_id,
+    book_id, start_no and words_read. The furthest of: the end of the block at the current passage, or at the first one;
+    for each completion the first passage up to which words_read words were read, at most the last one; where
+    words_read is null or not positive, the end of a block of today's size. Books without story passages give no row.
+
+    Where a completion ends is found by sorting running words and goals together by book and looking back, so no
+    completion is held against all passages.
+    """
+    n = numbered(sessions).select("book_id", "session_no", "words_before", (F.col("words_before") + F.col("word_count")).alias("upto"))
+    last = n.groupBy("book_id").agg(F.max("session_no").alias("last_no"))
+    done = completions.join(n.select("book_id", F.col("session_no").alias("start_no"), "words_before"), ["book_id", "start_no"])
+    known = F.coalesce("words_read", F.lit(0)) > 0
+    goals = done.filter(known).select("book_id", "user_id", (F.col("words_before") + F.col("words_read")).alias("at"), F.lit(None).cast("int").alias("session_no"))
+    marks = n.select("book_id", F.lit(None).cast(dict(goals.dtypes)["user_id"]).alias("user_id"), F.col("upto").alias("at"), F.col("session_no").cast("int").alias("session_no"))
+    back = Window.partitionBy("book_id").orderBy(F.desc("at"), F.desc_nulls_last("session_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = goals.unionByName(marks).withColumn("end_no", F.last("session_no", ignorenulls=True).over(back)).filter("session_no is null")
+    by_words = found.join(last, "book_id").select("user_id", "book_id", F.coalesce("end_no", "last_no").alias("end_no"))
+    current = readers.join(last, "book_id").select("user_id", "book_id", "size", F.when(F.col("current_no").between(1, F.col("last_no")), F.col("current_no")).otherwise(1).alias("session_no"))
+    sized = done.filter(~known).join(readers.select("user_id", "book_id", "size"), ["user_id", "book_id"]).select("user_id", "book_id", "size", F.col("start_no").alias("session_no"))
+    by_block = current.unionByName(sized).join(block_ends(sessions), ["book_id", "session_no"]).select("user_id", "book_id", (F.col("session_no") + F.least("merges", F.greatest("size", F.lit(1))) - 1).alias("end_no"))
+    return by_words.unionByName(by_block).groupBy("user_id", "book_id").agg(F.max("end_no").cast("int").alias("reached_no"))
 
 
 def recap(chapters: DataFrame) -> DataFrame:
-    """Chapters with the last three non-empty recaps before each, in order, joined by a blank line."""
-    w = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.when(F.col("recap") != "", F.col("recap"))).over(w)
-    n = dims.RECAP_CHAPTERS
-    last = F.slice(earlier, F.greatest(F.size(earlier) - n + 1, F.lit(1)), n)
-    return chapters.withColumn("recaps", F.array_join(last, "\n\n"))
+    """Chapters with the last three non-empty recaps before each, in order, joined by a blank line.
+
+    A chapter hands on its own recap with those that it was told, so the state is RECAP_CHAPTERS recaps, not the book's.
+    """
+    before = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows, told = chapters, F.expr("cast(array() as array<string>)")
+    for _ in range(dims.RECAP_CHAPTERS):
+        own = F.concat(told, F.array("recap"))
+        handed = F.when(F.col("recap") != "", F.slice(own, F.greatest(F.size(own) - dims.RECAP_CHAPTERS + 1, F.lit(1)), dims.RECAP_CHAPTERS))
+        rows = rows.withColumn("recaps", F.last(handed, ignorenulls=True).over(before))
+        told = F.coalesce("recaps", F.expr("cast(array() as array<string>)"))
+    return rows.withColumn("recaps", F.array_join(told, "\n\n"))
 
 
 def neighbours(sections: DataFrame) -> DataFrame:

@@ -57,11 +57,26 @@ def kappa(rows: DataFrame, keys: list[str], a: Column, b: Column) -> DataFrame:
     return counts.withColumn("kappa", F.when(~undefined, (F.col("same") / n - expected) / (1 - expected)))
 
 
-def thinned(chapters: DataFrame, gap: int) -> DataFrame:
-    """Chapters that carry a label: each at least ``gap`` columns after the last labelled one. A fold over each book."""
+def column_count(total: Column, reached: Column, whole: Column) -> Column:
+    """Columns of a map: the whole book's, or those read so far; a missing count falls back to the whole book."""
+    all_, read = F.greatest(F.lit(0), F.coalesce(F.floor(total), F.lit(0))), F.greatest(F.lit(0), F.coalesce(F.floor(reached), F.lit(0)))
+    part = F.least(read, F.when(all_ > 0, all_).otherwise(read))
+    return F.greatest(F.lit(1), F.when(whole | (read == 0), all_).otherwise(part)).cast("int")
+
+
+def in_range(chapters: DataFrame, columns: Column) -> DataFrame:
+    """The chapters that begin inside the drawn columns, their ends cut to these."""
+    return chapters.filter(F.col("start_pos") < columns).withColumn("end_pos", F.least("end_pos", columns - 1))
+
+
+def thinned(chapters: DataFrame, gap: int = 5) -> DataFrame:
+    """(book_id, labelled): the chapters that carry a label, each at least ``gap`` columns after the last labelled one.
+
+    The first one always does. A fold over each book's chapters, whose state is the last labelled column.
+    """
     items = F.sort_array(F.collect_list(F.struct("start_pos", "chapter_index")))
     zero = F.struct(F.lit(None).cast("int").alias("last"), F.expr("cast(array() as array<int>)").alias("out"))
-    take = lambda s, x: s["last"].isNull() | (x["start_pos"] - s["last"] >= gap)
+    take = lambda s, x: s["last"].isNull() | (x["start_pos"] - s["last"] >= max(1, gap))
     step = lambda s, x: F.struct(F.when(take(s, x), x["start_pos"]).otherwise(s["last"]).alias("last"), F.when(take(s, x), F.concat(s["out"], F.array(x["chapter_index"]))).otherwise(s["out"]).alias("out"))
     return chapters.groupBy("book_id").agg(F.aggregate(items, zero, step)["out"].alias("labelled"))
 

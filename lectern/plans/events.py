@@ -19,8 +19,8 @@ def mth_01_sample_wpm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with f as (select *, row_number() over (partition by user_id order by event_id desc) rn from reads), v as (select *, cast(words / (active_ms / 60000.0) as decimal(18,6)) wpm, row_number() over (partition by user_id order by event_id desc) vn from f
       where rn <= 40 and active_ms between 5000 and 7200000 and words >= 50 and words / (active_ms / 60000.0) <= 2000),
-    m as (select user_id, count(*) n, cast(cast(sum(wpm) filter (where vn <= 3) as decimal(18,6)) / count(*) filter (where vn <= 3) as decimal(18,6)) recent, cast(cast(sum(wpm) filter (where vn <= 20) as decimal(18,6)) / count(*) filter (where vn <= 20) as decimal(18,6)) rolling from v group by 1)
-    select u.user_id, coalesce(n, 0) n_samples, cast(round(recent, 1) as double) wpm_recent, cast(round(rolling, 1) as double) wpm_rolling, case when recent is null then 'estimate' when recent > rolling * 1.05 then 'faster' when recent < rolling * 0.95 then 'slower' else 'steady' end trend
+    m as (select user_id, count(*) n, round(cast(cast(sum(wpm) filter (where vn <= 3) as decimal(18,6)) / count(*) filter (where vn <= 3) as decimal(18,6)), 1) recent, round(cast(cast(sum(wpm) as decimal(18,6)) / count(*) as decimal(18,6)), 1) rolling from v where vn <= 20 group by 1)
+    select u.user_id, coalesce(n, 0) n_samples, cast(recent as double) wpm_recent, cast(rolling as double) wpm_rolling, case when recent > rolling * 1.05 then 'faster' when recent < rolling * 0.95 then 'slower' else 'steady' end trend, recent is null is_estimate
     from (select distinct user_id from reads) u left join m using (user_id)""",
     "reads",
 )
@@ -28,6 +28,21 @@ def agg_11_win_09_mth_02_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.pace(adapt(spark, sf_dir, "reads"))
 
 
+@query(
+    """with s as (select event_id, epoch_ms(ts) started, epoch_ms(ts) + active_ms ended, event_id % 4 shape, k from reads)
+    select event_id, cast(greatest(0, ended - started - case shape when 0 then 0 when 1 then 1000 + k * 10 when 2 then 1000 + (ended - (started + 1500)) else 10 * (ended - started) end) as bigint) active from s""",
+    "reads",
+)
+def dt_06_active_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions never hidden, hidden once, hidden twice and still so at the end, and hidden for longer than they last."""
+    span = lambda a, b: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"))
+    rows = adapt(spark, sf_dir, "reads").select("event_id", "k", F.unix_millis(F.col("ts").cast("timestamp")).alias("started"), F.col("active_ms").cast("long").alias("ms"), (F.col("event_id") % 4).alias("shape")).withColumn("ended", F.col("started") + F.col("ms"))
+    start = F.col("started")
+    once, open_ = F.array(span(start, start + 1000 + F.col("k") * 10)), F.array(span(start, start + 1000), span(start + 1500, F.lit(None)))
+    hidden = F.when(F.col("shape") == 1, once).when(F.col("shape") == 2, open_).when(F.col("shape") == 3, F.array(span(start, start + 10 * F.col("ms"))))
+    return rows.select("event_id", events.active_ms(start, F.col("ended"), hidden).alias("active"))
+
+
 _STREAKS = """i as (select user_id, day, day - cast(row_number() over (partition by user_id order by day) as int) g from days), r as (select user_id, g, count(*) n, max(day) last_day from i group by 1, 2),
     s as (select user_id, max_by(n, last_day) current_streak, max(n) longest_streak, max(last_day) last_day from r group by 1)"""
 

@@ -67,12 +67,23 @@ def jsn_07_src_10_label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt(spark, sf_dir, "reads").select("event_id", F.array_join(F.array_distinct(F.array_compact(F.array(*[F.nullif(F.trim(c), F.lit("")) for c in cols]))), ",").alias("labels"))
 
 
-@query("select user_id, case when max(k) >= 50 then 'offered' else 'due' end phase from reads group by 1", "reads")
+_ACTIONS, _ENDS = ("MARK_DUE", "SHOW_OFFER", "ACCEPT", "FINISH", "DONE", "DECLINE", "CANCEL_DUE"), ("solved", "bogus", "skipped", "time_cap")
+_MOVES = " ".join(f"when '{p}:{a}' then '{n}'" for (p, a), n in breaks.PHASES.items() if a != "FINISH")
+
+
+@query(
+    f"""with a as (select user_id, event_id, list_extract({list(_ACTIONS)}, cast((event_id * 3 + k) % 7 + 1 as int)) act, list_extract({list(_ENDS)}, cast(event_id % 4 + 1 as int)) fin from reads),
+    l as (select user_id, list_prepend('idle', list(case when act = 'FINISH' then case when fin = 'bogus' then 'none' else fin end else act end order by event_id)) l from a group by 1)
+    select user_id, split_part(s, '/', 1) phase, nullif(split_part(s, '/', 2), '') outcome from (select user_id, list_reduce(l, lambda s, x: case when s = 'playing' and x in {breaks.OUTCOMES} then 'ended/' || x
+      else case split_part(s, '/', 1) || ':' || x {_MOVES} else s end end) s from l)""",
+    "reads",
+)
 def stm_05_break_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phase machine over each reader's events, from the highest k only."""
-    rows = adapt(spark, sf_dir, "reads").groupBy("user_id").agg(F.max("k").alias("k"))
-    events = F.when(F.col("k") >= 50, F.array(*[F.lit(x) for x in ("due", "bogus", "offer")])).otherwise(F.array(F.lit("end"), F.lit("due")))
-    return rows.select("user_id", breaks.phase(events).alias("phase"))
+    """The phase machine over all of each reader's events in order, some of them not valid where they come."""
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    act = F.struct("event_id", pick(_ACTIONS, (F.col("event_id") * 3 + F.col("k")) % 7).alias("type"), pick(_ENDS, F.col("event_id") % 4).alias("outcome"))
+    rows = adapt(spark, sf_dir, "reads").groupBy("user_id").agg(F.array_sort(F.collect_list(act)).alias("actions"))
+    return rows.select("user_id", breaks.phase(F.col("actions")).alias("s")).select("user_id", "s.phase", "s.outcome")
 
 
 @query("select lang, count(*) chunks, count(*) * 1400 tokens from documents group by 1")
@@ -87,10 +98,16 @@ def mth_08_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", breaks.palette_check(F.col("t"), F.lit("#ffffff")).alias("verdict"), F.when(F.col("t") == "#000000", F.round(breaks.contrast(F.col("t"), F.lit("#ffffff")), 6)).alias("black_on_white"))
 
 
-@query("select event_id, 3 + (event_id * 7 + 1) % 4 rounds, (event_id * 7 + 1) % 5 game from events")
+@query(
+    """with b as (select event_id, event_id % 3 > 0 multi, (event_id * 2654435761 + 4294967290) % 4294967296 seed from events), r as (select event_id, seed, unnest(range(case when multi then 3 + (seed // 2) % 2 else 1 end)) number from b)
+    select event_id, cast(number as int) number, cast((seed + number) % 4294967296 as bigint) round_seed from r"""
+)
 def mth_09_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seed = F.col("event_id") * 7 + 1
-    return table(spark, sf_dir, "events").select("event_id", (3 + seed % 4).alias("rounds"), (seed % 5).alias("game"))
+    """Every round of the breaks that the events' seeds give, with its seed."""
+    seed = (F.col("event_id") * F.lit(2654435761).cast("long") + F.lit(4294967290).cast("long")) % F.lit(4294967296).cast("long")
+    rows = table(spark, sf_dir, "events").select("event_id", seed.alias("seed"), (F.col("event_id") % 3 > 0).alias("multi"))
+    rounds = rows.select("event_id", "seed", F.explode(F.sequence(F.lit(0), breaks.round_count(F.col("multi"), F.col("seed")) - 1)).alias("number"))
+    return rounds.select("event_id", "number", breaks.round_seed(F.col("seed"), F.col("number")).alias("round_seed"))
 
 
 @query("with w as (select distinct lower(word) word from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) word from documents)) select count(*) pairs from w a join w b on length(a.word) = length(b.word) and a.word < b.word and hamming(a.word, b.word) = 1")

@@ -58,14 +58,23 @@ def win_05_agg_02_completed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_NUMBERED}, c as (select user_id, book_id, 1 + cast(event_id % 30 as int) start_no, greatest(words, 1) words_read from reads),
-    g as (select c.*, least(n.words_before + c.words_read, n.total_words) goal from c join n on n.book_id = c.book_id and n.session_no = c.start_no)
-    select g.user_id, g.book_id, max(greatest(n.session_no, g.start_no)) reached_no from g join n on n.book_id = g.book_id and g.goal > n.words_before and g.goal <= n.words_before + n.word_count group by 1, 2""",
+    f"""with {_NUMBERED}, a as (select *, lead(chapter_index) over w c1, lead(chapter_index, 2) over w c2, lead(is_cliffhanger) over w k1 from n window w as (partition by book_id order by session_no)),
+    m as (select book_id, session_no, words_before, words_before + word_count upto, 1 + case when not is_cliffhanger and c1 = chapter_index then 1 + case when not k1 and c2 = chapter_index then 1 else 0 end else 0 end merges, count(*) over (partition by book_id) last_no from a),
+    c as (select user_id, book_id, 1 + cast(event_id % 300 as int) start_no, case when event_type = 'signup' then 0 else words end words_read from reads where event_type in ('purchase', 'signup')),
+    r as (select user_id, book_id, case when user_id % 3 > 0 then 1 + cast(max(event_id) % 500 as int) end cur, case when count(*) filter (where event_type in ('purchase', 'signup')) >= 15 then 3 when count(*) filter (where event_type in ('purchase', 'signup')) >= 5 then 2 else 1 end size from reads group by 1, 2),
+    ends as (select r.user_id, r.book_id, m.session_no + least(merges, size) - 1 e from r join m on m.book_id = r.book_id and m.session_no = case when cur <= last_no then cur else 1 end
+      union all select c.user_id, c.book_id, m.session_no + least(merges, size) - 1 from c join m on m.book_id = c.book_id and m.session_no = c.start_no join r on r.user_id = c.user_id and r.book_id = c.book_id where c.words_read <= 0
+      union all select c.user_id, c.book_id, coalesce(min(x.session_no), any_value(m.last_no)) from (select *, row_number() over () id from c where words_read > 0) c join m on m.book_id = c.book_id and m.session_no = c.start_no left join m x on x.book_id = c.book_id and x.session_no >= c.start_no and x.upto >= m.words_before + c.words_read group by c.id, c.user_id, c.book_id)
+    select user_id, book_id, cast(max(e) as int) reached_no from ends group by 1, 2""",
     "sessions", "reads",
 )
 def win_06_jn_09_reached_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = adapt(spark, sf_dir, "reads").select("user_id", "book_id", (1 + F.col("event_id") % 30).cast("int").alias("start_no"), F.col("words").alias("words_read"))
-    return reader.reached(reader.numbered(adapt(spark, sf_dir, "sessions")), done)
+    """Every reader of every book: some have not started, some have no completion or none that says how far it went."""
+    reads = adapt(spark, sf_dir, "reads")
+    ended = F.col("event_type").isin("purchase", "signup")
+    done = reads.filter(ended).select("user_id", "book_id", (1 + F.col("event_id") % 300).cast("int").alias("start_no"), F.when(F.col("event_type") == "signup", 0).otherwise(F.col("words")).alias("words_read"))
+    state = reads.groupBy("user_id", "book_id").agg(F.when(F.col("user_id") % 3 > 0, (1 + F.max("event_id") % 500).cast("int")).alias("current_no"), reader.size_level(F.count_if(ended)).alias("size"))
+    return reader.reached(adapt(spark, sf_dir, "sessions"), state, done)
 
 
 @query(f"with {_NUMBERED} select book_id, chapter_index, min(session_no) - 1 start_pos, max(session_no) - 1 end_pos from n group by 1, 2", "sessions")

@@ -186,9 +186,19 @@ def jsn_02_05_reply_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", reply.alias("reply")).select("event_id", parsed.alias("parsed"))
 
 
-@query("with r as (select book_id, chapter_index, min(n - 1) start_pos from tags group by 1, 2) select book_id, count(*) n_chapters, min(start_pos) first_start from r group by 1", "tags")
+@query(
+    """with recursive n as (select book_id, chapter_index, row_number() over (partition by book_id order by chapter_index, session_index) - 1 pos, count(*) over (partition by book_id) total from sessions where section_kind = 'story'),
+    c as (select book_id, chapter_index, min(pos) s, max(pos) e, any_value(total) total from n group by 1, 2), k as (select *, greatest(1, case when book_id % 3 = 0 or 40 * book_id = 0 then total else least(40 * book_id, total) end) cols from c),
+    d as (select book_id, chapter_index, s, least(e, cols - 1) e, cols, row_number() over (partition by book_id order by s) rn from k where s < cols),
+    w as (select book_id, rn, chapter_index, s as last, true as taken, e, cols from d where rn = 1 union all
+      select d.book_id, d.rn, d.chapter_index, case when d.s - w.last >= 12 then d.s else w.last end, d.s - w.last >= 12, d.e, d.cols from w join d on d.book_id = w.book_id and d.rn = w.rn + 1)
+    select book_id, chapter_index, cast(e as int) end_pos, cast(cols as int) columns, taken as labelled from w""",
+    "sessions",
+)
 def win_14_mth_05_label_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many chapters there are to label, and where the first stands; the thinned labels are tested on their own."""
-    ranges = reader.contiguous_ranges(reader.numbered(adapt(spark, sf_dir, "sessions")))
-    labelled = tags.thinned(ranges.select("book_id", "chapter_index", F.col("start_pos").cast("int").alias("start_pos")), 12)
-    return ranges.groupBy("book_id").agg(F.count("*").alias("n_chapters"), F.min("start_pos").alias("first_start")).join(labelled.filter(F.size("labelled") >= 1).select("book_id"), "book_id")
+    """Every chapter that a map draws: its end in the drawn columns, and whether it carries a label, at a gap of 12."""
+    numbered = reader.numbered(adapt(spark, sf_dir, "sessions"))
+    totals = numbered.groupBy("book_id").agg(F.count("*").alias("total"))
+    ranges = reader.contiguous_ranges(numbered).join(totals, "book_id").select("book_id", "chapter_index", *[F.col(c).cast("int").alias(c) for c in ("start_pos", "end_pos")], tags.column_count(F.col("total"), 40 * F.col("book_id"), F.col("book_id") % 3 == 0).alias("columns"))
+    drawn = tags.in_range(ranges, F.col("columns"))
+    return drawn.join(tags.thinned(drawn, 12), "book_id").select("book_id", "chapter_index", "end_pos", "columns", F.array_contains("labelled", F.col("chapter_index")).alias("labelled"))

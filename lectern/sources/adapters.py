@@ -76,5 +76,7 @@ def with_ctes(sql: str, *names: str) -> str:
         for t in ("documents", "events", "chapters", "sessions"):
             text = text.replace(f"{{{t}}}", t)
         ctes.append(f"{n} as ({text})")
+    if sql.startswith("with recursive "):
+        return f"with recursive {', '.join(ctes)}, {sql[15:]}"
     head = f"with {', '.join(ctes)}"
     return f"{head}, {sql[5:]}" if sql.startswith("with ") else f"{head} {sql}"

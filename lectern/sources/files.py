@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import dims
@@ -18,8 +18,15 @@ TAG_SCHEMA = (
     "format int, books array<struct<gutenberg_id:int,title:string,chunks:array<struct<chapter:int,session:int,hash:string,model:string,prompt_version:string,"
     "theme_list_version:string,themes:array<struct<theme:string,score:int>>>>>>"
 )
-SKIPPED_TYPES = ("cover", "toc", "titlepage", "copyright-page", "colophon", "imprint", "loi", "landmarks")
-SKIPPED_HREF = r"(?i)(?:^|[/_.-])(?:cover|nav|toc|titlepage|copyright|colophon|imprint|uncopyright)(?:[/_.-]|$)"
+#: Kinds and names of EPUB items that are not text.
+SKIPPED_TYPES = ("cover", "toc", "titlepage", "copyright-page", "colophon", "imprint", "dedication", "acknowledgements", "frontmatter", "backmatter", "landmarks")
+SKIPPED_HREF = r"(?i)(cover|nav\b|toc|contents|titlepage|title-page|halftitle|copyright|colophon|imprint|licen[cs]e|uncopyright|dedication|frontmatter|back-?matter)"
+
+
+def skipped_item(href: Column, types: Column) -> Column:
+    """Whether an EPUB item is navigation or about the book, by its kinds or its name; null is neither."""
+    kinds = F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(t) for t in SKIPPED_TYPES])), F.lit(False))
+    return kinds | F.coalesce(href, F.lit("")).rlike(SKIPPED_HREF)
 
 
 def uploads(spark: SparkSession, path: str, cap: int = 10 << 20) -> DataFrame:
@@ -63,8 +70,7 @@ def epub_items(files: DataFrame) -> DataFrame:
 
     items = files.filter("format = 'epub'").select("name", "content").mapInPandas(spine, "name string, place int, href string, html string")
     types = F.split(F.lower(F.array_join(F.regexp_extract_all("html", F.lit(r'epub:type="([^"]*)"'), 1), " ")), " ")
-    skipped = F.col("href").rlike(SKIPPED_HREF) | F.arrays_overlap(types, F.array(*[F.lit(t) for t in SKIPPED_TYPES]))
-    return items.filter(F.col("html").isNull() | ~skipped)
+    return items.filter(F.col("html").isNull() | ~skipped_item(F.col("href"), types))
 
 
 def epub_chapters(files: DataFrame, least_words: int = 30) -> DataFrame:

@@ -17,25 +17,41 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "local_phone")
 KINDS = BASE_KINDS + ADDED_KINDS
 
+#: The length of an account number by country, as published in the registry of such numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Country, check digits, and as many characters as the country has, in groups of four with or without spaces."""
+    rest = lambda n: r"(?:\x20?[A-Z0-9]{4}){%d}" % (n // 4) + (r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+    of_length = "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, names in IBAN_LENGTHS.items())
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}\x20?[A-Z0-9]{{4}})(?:{of_length})(?![A-Za-z0-9])"
+
+
 #: Kind -> (text that a match always contains, pattern).
 PATTERNS = {
     "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (".", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": (None, r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "iban": (None, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
+    "iban": (None, _iban_pattern()),
     "ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": (None, r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
 }
-#: Kind -> (score of a span that passed its checks, what context words add, the words); spans need MIN_SCORE.
+#: Kind -> (score of a span that passed its checks, what context words add, the words in English, French, German and
+#: Spanish); spans need MIN_SCORE.
 SCORES = {
-    "email": (0.9, 0.1, "mail|contact|address"),
-    "ip": (0.7, 0.2, "ip|server|host|address"),
-    "card": (0.8, 0.2, "card|visa|credit|payment|account"),
-    "phone": (0.8, 0.2, "phone|tel|call|mobile|fax"),
-    "iban": (0.8, 0.2, "iban|bank|account|transfer"),
-    "ssn": (0.3, 0.5, "ssn|social security|tax"),
-    "local_phone": (0.3, 0.4, "phone|tel|call|mobile|fax"),
+    "email": (0.9, 0.1, "mail|contact|address|courriel|adresse|kontakt|correo|direcci|contacto"),
+    "ip": (0.7, 0.2, "ip|server|host|address|serveur|adresse|servidor|direcci"),
+    "card": (0.8, 0.2, "card|visa|credit|payment|account|carte|paiement|compte|karte|kredit|zahlung|konto|tarjeta|pago|cuenta"),
+    "phone": (0.8, 0.2, "phone|tel|call|mobile|fax|t\u00e9l|appel|portable|anruf|mobil|handy|llam|m\u00f3vil"),
+    "iban": (0.8, 0.2, "iban|bank|account|transfer|banque|compte|virement|konto|\u00fcberweisung|banco|cuenta|transferencia"),
+    "ssn": (0.3, 0.5, "ssn|social security|tax|s\u00e9curit\u00e9 sociale|sozialversicherung|steuer|seguridad social|seguro social"),
+    "local_phone": (0.3, 0.4, "phone|tel|call|mobile|fax|t\u00e9l|appel|portable|anruf|mobil|handy|llam|m\u00f3vil"),
 }
 MIN_SCORE = 0.5
 #: Code points before and after a span in which context words count.
@@ -63,7 +79,7 @@ def _passes(kind: str, v: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
     if kind == "iban":
-        return F.length(F.replace(v, F.lit(" "))).between(15, 34) & _mod97(v)
+        return _mod97(v)
     if kind == "ssn":
         return ~F.left(v, F.lit(3)).isin("000", "666") & ~v.rlike("-00-|-0000$")
     return F.lit(True)
@@ -99,9 +115,9 @@ def _spans(t: Column, kind: str) -> Column:
 
 
 def find_spans(text: Column) -> Column:
-    """array<struct<start, ord, end, kind, score>> of a whole text by start, then kind; null text gives none.
+    """array<struct<start, ord, end, kind, score>> of a whole text by start, then kind; null and empty texts give none.
 
-    Added spans that overlap a base span give way to it.
+    Added spans that overlap a base span give way to it; those of one start stand in the order of KINDS.
     """
 
     def together(base: Column, t: Column) -> Column:
@@ -141,7 +157,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """The digest of each document's spans: base counts, base_sha256, spans, and the highest and lowest score."""
+    """The digest of each row's spans: doc_id, base counts, base_sha256, spans, top_score (the highest; null without spans).
+
+    Null and empty texts have no spans; rows repeat as they do in ``docs``; other columns, whatever their names, are
+    ignored and an empty table gives no rows.
+    """
     found = docs.select("doc_id", find_spans(F.col("text")).alias("s"))
     base = F.filter("s", lambda x: x["ord"] < len(BASE_KINDS))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import fresh_path, hashed_sample, materialise, prepare
@@ -28,6 +28,9 @@ DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 1_000, 32_768
 BROADCAST_ROWS = 200_000
 #: A task starts a new archive after so many bytes.
 ROLL_BYTES = 64 << 20
+#: Tasks that read archives at most.
+MOST_READERS = 20_000
+MANIFEST = "archive string, records long, bytes long"
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
 
@@ -105,13 +108,15 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 
 
 class _Archive:
-    """Archives of one task: files get their final names only when they are whole, so a retried task does no harm."""
+    """Archives of one attempt of a task. Their names are this attempt's own, so attempts never touch each other's files."""
 
     def __init__(self, folder: str, task: str, dictionary: bytes):
+        from uuid import uuid4
+
         from pyarrow import fs
 
         self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.task, self.dictionary, self.number = task, dictionary, 0
+        self.task, self.dictionary, self.number = f"{task}-{uuid4().hex[:12]}", dictionary, 0
         self.writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_checksum=True)
         self.buffer, self.count = io.BytesIO(), 0
 
@@ -125,23 +130,21 @@ class _Archive:
     def close(self) -> dict[str, object] | None:
         if not self.count:
             return None
-        from uuid import uuid4
-
         name = f"{self.task}-{self.number:05d}.warc.zst"
-        temporary = f"{self.folder}/.{name}.{uuid4().hex}"
-        with self.store.open_output_stream(temporary) as out:
+        with self.store.open_output_stream(f"{self.folder}/{name}") as out:
             out.write(self.buffer.getbuffer())
-        self.store.move(temporary, f"{self.folder}/{name}")
         done = {"archive": name, "records": self.count, "bytes": self.buffer.tell()}
         self.number, self.count, self.buffer = self.number + 1, 0, io.BytesIO()
         return done
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write every page into ``folder`` (a URI that all executors reach); returns archive, records, bytes.
+    """Write every page into ``folder`` (a URI that all executors reach); returns its manifest: archive, records, bytes.
 
-    Null html is an empty payload, a null url gives way to the record's name, and of rows with equal payloads and the
-    largest page_id all are responses. An empty table writes nothing.
+    The manifest is a table in the folder, committed task by task, so it names the archives of one successful attempt of
+    each task; files that lost or second attempts leave behind are in no manifest and are not read. Null html is an
+    empty payload, a null url gives way to the record's name, and of rows with equal payloads and the largest page_id
+    all are responses. An empty table writes no archive.
     """
     prepare(pages.sparkSession)
     spark = pages.sparkSession
@@ -151,8 +154,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     first = materialise(first, "repeated-payloads")
     few = first.count() <= BROADCAST_ROWS  # else the pages are shuffled by digest, with skewed ones split
     known = own.join(F.broadcast(first) if few else first, (own["sha"] == first["sha"]) & (F.octet_length(own["html"]) == first["size"]), "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("first_id"), F.col("first_id")).alias("refers_to"))
-    sample = hashed_sample(pages, "page_id", SAMPLE_ROWS).select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"))
-    cut = sample.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")).collect()
+    cut = hashed_sample(own.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")), "page_id", SAMPLE_ROWS).collect()
     dictionary = build_dictionary([make_record(r["page_id"], r["url"], bytes(r["b"]), payload_digest(bytes(r["b"]))) for r in cut])
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
@@ -161,45 +163,56 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         archive = _Archive(folder, f"part-{TaskContext.get().partitionId():06d}", dictionary)
-        done = []
+        row = lambda done: pd.DataFrame([done], columns=["archive", "records", "bytes"])
+        number = lambda x: None if pd.isna(x) else int(x)
         for batch in batches:
             for page_id, url, html, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
                 payload = html.encode("utf-8")
-                number = lambda x: None if pd.isna(x) else int(x)
-                done.append(archive.add(make_record(number(page_id), url, payload, payload_digest(payload), number(refers))))
-        done.append(archive.close())
-        yield pd.DataFrame([d for d in done if d], columns=["archive", "records", "bytes"])
+                if done := archive.add(make_record(number(page_id), url, payload, payload_digest(payload), number(refers))):
+                    yield row(done)
+        if done := archive.close():
+            yield row(done)
 
-    return materialise(known.mapInPandas(write, "archive string, records long, bytes long"), "archives")
+    known.mapInPandas(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_archives(pages_folder: str, spark, payloads: bool = False) -> DataFrame:
-    """Every record of the archives in a folder: page_id, payload_bytes, payload_digest, record_type, refers_to, and url and payload if asked for."""
+def read_archives(folder: str, spark: SparkSession, payloads: bool = False) -> DataFrame:
+    """Every record of the archives that the folder's manifest names: page_id, payload_bytes, payload_digest, record_type, refers_to, and url and payload if asked for."""
     prepare(spark)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["url", "payload"] * payloads
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                rows: list[dict[str, object]] = []
-                for record in read_archive(content):
-                    rows.append(parse_record(record))
-                    if len(rows) == 1000:
-                        yield frame(rows)
-                        rows = []
-                yield frame(rows)
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for name in (n for batch in batches for n in batch["archive"]):
+            with store.open_input_stream(f"{path}/{name}") as file:
+                content = file.read()
+            rows: list[dict[str, object]] = []
+            for record in read_archive(content):
+                rows.append(parse_record(record))
+                if len(rows) == 1000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     def frame(rows: list[dict[str, object]]) -> pd.DataFrame:
         made = pd.DataFrame(rows, columns=[*columns, *[c for c in ("url", "payload") if c not in columns]])[columns]
         return made.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(pages_folder)
-    return files.select("content").mapInPandas(read, schema)
+    names = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("archive")
+    tasks = min(max(1, names.count()), MOST_READERS)  # small manifests would share a task
+    return names.repartition(tasks, "archive").mapInPandas(read, schema)
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives in the shared folder, read them back and return one row for each record."""
+    """Write all pages to archives in the shared folder, read them back and return one row for each record.
+
+    Rows repeat as they do in ``pages``; null page_ids stay null and refer to the page that has the payload, if any.
+    Other columns are ignored and an empty table gives no rows.
+    """
     folder = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, folder)
     return read_archives(folder, pages.sparkSession)

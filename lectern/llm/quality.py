@@ -8,6 +8,7 @@ A document is kept if every measure lies within the fences that its group's quar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,21 +32,34 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
 def _repeat_words(w: Column) -> Column:
-    """Words inside three-word windows that occur at least twice in the text, in time n log n."""
+    """Words inside three-word windows that occur at least twice in the text, in time n log n.
+
+    Hashes that share their sort position's bits find the windows that may repeat; their words decide.
+    """
     n = F.size(w)
     bits = F.length(F.bin(n.cast("long")))
 
     def marked(h: Column) -> Column:
-        def covered(p: Column) -> Column:
-            flagged = F.filter(p, lambda x, j: F.coalesce(high(x) == high(F.get(p, j - 1)), F.lit(False)) | F.coalesce(high(x) == high(F.get(p, j + 1)), F.lit(False)))
-            at = F.sort_array(F.transform(flagged, lambda x: x - F.expr("0L") - high(x)))
-            return let(at, lambda q: F.aggregate(F.transform(q, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(q, j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
-
         def high(x: Column) -> Column:
             return F.call_function("shiftleft", F.call_function("shiftright", x, bits), bits)
 
+        def near(p: Column, same: Callable[[Column, Column], Column]) -> Column:
+            return F.filter(p, lambda x, j: F.coalesce(same(x, F.get(p, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, j + 1)), F.lit(False)))
+
+        def window(x: Column) -> Column:
+            i = (x - high(x)).cast("int")
+            return F.struct(*[F.get(w, i + k).alias(f"w{k}") for k in range(3)], i.cast("long").alias("at"))
+
+        def repeated(p: Column) -> Column:
+            return near(p, lambda x, y: (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]))
+
+        def covered(q: Column) -> Column:
+            return F.aggregate(F.transform(q, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(q, j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
+
         packed = F.sort_array(F.transform(h, lambda x, i: high(x).bitwiseOR(i.cast("long"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(packed, covered))
+        maybe = let(packed, lambda p: near(p, lambda x, y: high(x) == high(y)))
+        at = let(F.sort_array(F.transform(maybe, window)), lambda p: F.sort_array(F.transform(repeated(p), lambda x: x["at"])))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(at, covered))
 
     windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(windows, marked))
@@ -74,7 +88,7 @@ def bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
-def thresholds(measured: DataFrame) -> DataFrame:
+def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, lo_<measure>, hi_<measure>) from sketches of the rows, which have lang, source and the measures."""
     pairs = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("b")) for m in MEASURES])
     fine = materialise(measured.select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "measure", "b").agg(F.count("*").alias("n")), "sketches")
@@ -97,7 +111,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
         .join(of_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure")))
         .join(of_all.alias("a"), F.col("o.measure") == F.col("a.measure"))
     )
-    pick = lambda q: F.when(F.col("o.total") >= MIN_GROUP, F.col(f"o.{q}")).when(F.col("l.total") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
+    pick = lambda q: F.when(F.col("o.total") >= min_group, F.col(f"o.{q}")).when(F.col("l.total") >= min_group, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
     table = joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), pick("q1").alias("q1"), pick("q3").alias("q3"))
     ends = []
     for m, (low, least) in MEASURES.items():
@@ -108,7 +122,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return table.groupBy("lang", "source").agg(*ends)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """One row for each document: doc_id, the base counts, base_failed, kept, the measures.
 
     Null text counts as empty (all counts 0, base_failed). Null lang or source is a group of its own. Rows that
@@ -127,7 +141,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             "mean_word": rate("word_chars", 100),
         }
     )
-    limits = thresholds(base.filter(~F.col("base_failed")))
+    limits = thresholds(base.filter(~F.col("base_failed")), min_group)
     joined = base.alias("b").join(limits.alias("t"), F.col("b.lang").eqNullSafe(F.col("t.lang")) & F.col("b.source").eqNullSafe(F.col("t.source")), "left")
     within = reduce(lambda a, b: a & b, [F.col(m) <= F.col(f"hi_{m}") for m in MEASURES] + [F.col(m) >= F.col(f"lo_{m}") for m, (low, _) in MEASURES.items() if low])
     return joined.select(

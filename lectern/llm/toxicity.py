@@ -7,7 +7,7 @@ fitted on the driver from a bounded sample of labelled rows and is of fixed size
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import TERM_BYTES, hashed_sample, materialise, prepare, token_hashes
 
-#: Terms are hashed to so many bits; the fit may use so many labelled rows and so many distinct terms.
-HASH_BITS, SAMPLE_ROWS, MAX_TERMS = 22, 20_000, 8192
-RANK, EPOCHS, RATE, PAIR_RATE, L2, BATCH, MIN_ROWS = 4, 40, 0.1, 0.05, 1e-4, 256, 3
+#: Terms are hashed to so many bits; the fit may use so many labelled rows.
+HASH_BITS, SAMPLE_ROWS = 22, 20_000
+RANK, RATE, PAIR_RATE, L2, BATCH = 4, 0.1, 0.05, 1e-4, 256
+#: Passes over the sample: so many, and more of a small one, until so many steps are made.
+EPOCHS, STEPS = 20, 600
 #: Bytes that make a longer word's stem, a term of its own: words of one family share it.
 STEM = 5
-#: Standard errors by which a term's share among toxic rows must differ for the term to enter the model.
-MIN_Z = 3.0
+#: A term of at least MIN_ROWS of the sample's rows enters the model if its share among toxic rows differs by MIN_Z
+#: standard errors. So does any term of at least FREQUENT of the rows, and of FREQUENT_ROWS rows, whatever its share: two
+#: terms may be toxic only together. The rest is too rare to be learned from the sample.
+MIN_ROWS, MIN_Z, FREQUENT, FREQUENT_ROWS = 3, 3.0, 0.02, 50
 
 
 @dataclass
@@ -35,19 +39,26 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def logit(self, found: np.ndarray) -> float:
-        """``found``: indices into the terms, without repeats."""
-        if not len(found):
-            return self.bias
-        v = self.vectors[found]
-        return float(self.bias + self.weights[found].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum())
+    def logits(self, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """For ``n`` rows; ``at``: indices into the terms, ``row``: the row of each, without repeats inside a row."""
+        v = self.vectors[at]
+        pairs = sum(np.bincount(row, weights=v[:, k], minlength=n) ** 2 for k in range(v.shape[1]))
+        return self.bias + np.bincount(row, weights=self.weights[at], minlength=n) + 0.5 * (pairs - np.bincount(row, weights=(v**2).sum(1), minlength=n))
 
-    def score(self, text: str | None) -> float:
-        terms = text_terms(text)
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        found = at[self.terms[at] == terms] if len(self.terms) else terms[:0].astype(int)
-        return float(1 / (1 + np.exp(-np.clip(self.logit(found), -30, 30))))
+    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
+        """0 to 1 for each text, from all its terms."""
+        hashed = [text_terms(t) for t in texts]
+        row = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
+        found, at = find(self.terms, np.concatenate(hashed) if hashed else np.empty(0, np.int64))
+        return 1 / (1 + np.exp(-np.clip(self.logits(at, row[found], len(hashed)), -30, 30)))
+
+
+def find(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted terms are among the sorted ``terms``, and the indices of those."""
+    at = np.searchsorted(terms, wanted)
+    found = at < len(terms)
+    found[found] = terms[at[found]] == wanted[found]
+    return found, at[found]
 
 
 def text_terms(text: str | None) -> np.ndarray:
@@ -62,45 +73,45 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray) -> Machin
     The order is fixed, so equal rows give an equal machine.
     """
     n, toxic = len(rows), float(labels.sum())
-    bias = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
+    machine = Machine(float(np.log((toxic + 0.5) / (n - toxic + 0.5))), np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)))
     if not len(terms) or toxic in (0.0, float(n)):
-        return Machine(bias, np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)))
+        return machine
     at = np.concatenate(rows).astype(np.int64)
     start = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     rng = np.random.default_rng(7)
-    w, v = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), RANK))
+    machine.terms, machine.weights, machine.vectors = terms, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), RANK))
     gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
         order = rng.permutation(n)
         for b in range(0, n, BATCH):
             batch = np.sort(order[b : b + BATCH])
             size = start[batch + 1] - start[batch]
             row = np.repeat(np.arange(len(batch)), size)
-            t = at[np.concatenate([np.arange(start[i], start[i + 1]) for i in batch])]
-            vt = v[t]
-            s = np.zeros((len(batch), RANK))
-            np.add.at(s, row, vt)
-            squares = np.bincount(row, weights=(vt**2).sum(1), minlength=len(batch))
-            logit = bias + np.bincount(row, weights=w[t], minlength=len(batch)) + 0.5 * ((s**2).sum(1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[batch]) / len(batch)
-            db = error.sum()
-            dw = np.bincount(t, weights=error[row], minlength=len(terms)) + L2 * w
-            dv = np.zeros_like(v)
-            np.add.at(dv, t, error[row, None] * (s[row] - vt))
-            dv += L2 * v
-            gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-            bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - PAIR_RATE * dv / np.sqrt(gv)
-    return Machine(float(bias), terms, w, v)
-
-
-def telling_terms(sample: DataFrame) -> np.ndarray:
-    """Sorted terms whose share among toxic rows stands out, at most MAX_TERMS, from ``sample`` (toxic, terms)."""
+            t = at[np.repeat(start[batch] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            error = (1 / (1 + np.exp(-np.clip(machine.logits(t, row, len(batch)), -30, 30))) - labels[batch]) / len(batch)
+            used, t = np.unique(t, return_inverse=True)
+            v, each = machine.vectors[used], error[row]
+            sums = (np.bincount(row, weights=v[t, k], minlength=len(batch))[row] for k in range(RANK))
+            dv = np.stack([np.bincount(t, weights=each * (s - v[t, k]), minlength=len(used)) for k, s in enumerate(sums)], axis=1) + L2 * v
+            dw = np.bincount(t, weights=each, minlength=len(used)) + L2 * machine.weights[used]
+            db = float(error.sum())
+            gb += db * db
+            gw[used] += dw * dw
+            gv[used] += dv * dv
+            machine.bias -= RATE * db / gb**0.5
+            machine.weights[used] -= RATE * dw / np.sqrt(gw[used])
+            machine.vectors[used] = v - PAIR_RATE * dv / np.sqrt(gv[used])
+    return machine
+
+
+def model_terms(sample: DataFrame) -> np.ndarray:
+    """Sorted terms of ``sample`` (toxic, terms) that the model has: those that stand out alone, and all frequent ones."""
     total = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     rate = (total["toxic"] or 0) / max(total["n"], 1)
     counts = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
     z = F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)) + 1e-9)
-    best = counts.filter(F.col("n") >= MIN_ROWS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64))
+    chosen = counts.filter((F.col("n") >= MIN_ROWS) & ((z >= MIN_Z) | (F.col("n") >= max(FREQUENT_ROWS, FREQUENT * total["n"]))))
+    return np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int64))  # of a bounded sample
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,57 +120,63 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Fit on the labelled rows that are not held out, at most SAMPLE_ROWS of them, in the order of a hash of the id."""
+    """Fit on the labelled rows that are not held out, at most SAMPLE_ROWS ids of them, in the order of a hash of the id.
+
+    Null labels and ids teach nothing. An id with different labels counts as toxic, and of different texts under one id
+    the one with the least hash is read, so reruns agree. Without labels of both kinds every score is the base rate.
+    """
     prepare(docs.sparkSession)
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = hashed_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", SAMPLE_ROWS)
     kind = dict(docs.dtypes)["doc_id"]
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [text_terms(t).astype(np.int32) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "h": batch["h"], "terms": [text_terms(t).astype(np.int32) for t in batch["text"]]})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
-    sample = materialise(texts.select("doc_id", "toxic", "text").mapInPandas(terms, f"doc_id {kind}, toxic int, terms array<int>"), "toxic-sample")
-    telling = telling_terms(sample)
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
+    found = texts.select("doc_id", "toxic", "h", "text").mapInPandas(hashed, f"doc_id {kind}, toxic int, h long, terms array<int>")
+    sample = materialise(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("terms", "h").alias("terms")), "toxic-sample")
+    terms = model_terms(sample)
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.searchsorted(telling, t[np.isin(t, telling)]).astype(np.int32) for t in batch["terms"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "found": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "found": [find(terms, t)[1].astype(np.int32) for t in batch["terms"]]})
 
-    rows = sample.mapInPandas(told, f"doc_id {kind}, toxic int, found array<int>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
-    return fit([np.asarray(f, np.int64) for f in rows["found"]], rows["toxic"].to_numpy(float), telling)
+    rows = sample.mapInPandas(told, f"doc_id {kind}, toxic int, found array<int>").toPandas().sort_values("doc_id", kind="stable")
+    return fit([np.asarray(f, np.int64) for f in rows["found"]], rows["toxic"].to_numpy(float), terms)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, score for each row of ``docs``: repeated rows alike, empty and null texts at the base rate."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most MAX_TERMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # its terms come from a bounded sample
     kind = dict(docs.dtypes)["doc_id"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [model.score(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": shared.value.scores(batch["text"])})
 
     return docs.select("doc_id", "text").mapInPandas(scored, f"doc_id {kind}, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document, one row for each row of ``docs``.
+
+    Null and empty texts get the base rate's score; repeated rows and ties score alike; other columns are ignored and
+    an empty table gives no rows.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is under one half, with their columns as they are."""
+    """The rows of ``docs`` whose score is under one half, with their columns as they are; repeated rows go or stay together."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype="float64")
+        return pd.Series(shared.value.scores(texts), dtype="float64")
 
     return docs.filter(of(F.col("text")) < 0.5)

@@ -66,6 +66,13 @@ def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(11), key), key).limit(n)
 
 
+def free_name(name: str, rows: DataFrame) -> str:
+    """``name``, with underscores before it as long as ``rows`` has such a column."""
+    while name.lower() in (c.lower() for c in rows.columns):
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``, so that a costly expression is evaluated once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,7 +3,8 @@
 A source whose target is r times its size takes every document floor(r) times, and once more with probability
 r - floor(r). The cube method draws these extra copies: it moves the vector of probabilities inside the null-space of
 the balancing constraints (words and documents of the source), three documents at a time, each move making at least
-one of them whole, until at most two are left; the landing phase then settles those few.
+one of them whole, until OPEN are left. The landing phase then draws one of the choices of those few, by a linear
+programme: of all designs that keep every document's probability, the one whose words and documents come nearest.
 
 Documents move in blocks of a source, so a source of any size is spread over many tasks. What each block leaves open
 meets in coarser blocks and, at last, in one small landing problem for each source.
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import materialise, prepare, words
+from lectern.llm.common import free_name, materialise, prepare, words
 
 #: Weights of the sources in order, repeating; the share of all sizes; the cap over a source's size.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-#: Documents that meet in one block of the flight phase on average, and documents that a source's landing phase settles.
-BLOCK, LANDING = 4096, 14
+#: Documents that meet in one block of the flight phase on average, and those that a flight leaves open at most.
+BLOCK, OPEN = 4096, 12
+#: Weight of a document against the mean size in the landing phase.
+DOCS_WEIGHT = 0.02
 
 
 def size_of(text: Column) -> Column:
@@ -67,7 +70,10 @@ def _uniform(seed: str) -> Iterator[float]:
 
 
 def flight(p: list[float], size: list[float], seed: str) -> None:
-    """Move the probabilities ``p`` in place, keeping sum(p) and sum(p * size), until at most two lie inside (0, 1)."""
+    """Move the probabilities ``p`` in place, keeping sum(p) and sum(p * size), until at most OPEN lie inside (0, 1).
+
+    Each move takes the three open documents whose sizes are closest, so those left open differ in size.
+    """
     draw, tiny = _uniform(seed), 1e-9
     open_: list[int] = []
     for k in range(len(p)):
@@ -75,78 +81,96 @@ def flight(p: list[float], size: list[float], seed: str) -> None:
             p[k] = float(round(p[k]))
             continue
         open_.append(k)
-        while len(open_) == 3:
-            a, b, c = open_
+        while len(open_) > OPEN:
+            open_.sort(key=lambda i: (size[i], i))
+            at = min(range(len(open_) - 2), key=lambda i: size[open_[i + 2]] - size[open_[i]])
+            a, b, c = three = open_[at : at + 3]
             move = (size[b] - size[c], size[c] - size[a], size[a] - size[b])
             if not any(move):
                 move = (1.0, -1.0, 0.0)  # equal sizes: any exchange keeps both sums
-            up = min((1 - p[i]) / m if m > 0 else p[i] / -m for i, m in zip(open_, move, strict=True) if m)
-            down = min(p[i] / m if m > 0 else (1 - p[i]) / -m for i, m in zip(open_, move, strict=True) if m)
+            up = min((1 - p[i]) / m if m > 0 else p[i] / -m for i, m in zip(three, move, strict=True) if m)
+            down = min(p[i] / m if m > 0 else (1 - p[i]) / -m for i, m in zip(three, move, strict=True) if m)
             step = up if next(draw) * (up + down) < down else -down
-            for i, m in zip(open_, move, strict=True):
+            for i, m in zip(three, move, strict=True):
                 x = p[i] + step * m
                 p[i] = 0.0 if x < tiny else 1.0 if x > 1 - tiny else x
             open_ = [i for i in open_ if 0 < p[i] < 1]
 
 
-def held_back(size: list[float], order: list[int]) -> list[int]:
-    """Up to LANDING documents for the landing phase: of those that have words, evenly spaced by rank of size.
+def landing(p: list[float], size: list[float], seed: str) -> None:
+    """Settle the at most OPEN open documents in place, each with its probability.
 
-    Their sizes vary, so some choice of them and of what the flight leaves open meets a source's words almost exactly.
+    Of all ways to draw one of their choices (subsets) that give every document its probability, that one is used whose
+    words and documents come nearest to what is due on average. A simplex search finds it, from the nested choices.
     """
-    some = sorted((k for k in order if size[k] > 0), key=lambda k: (size[k], k))
-    step = max(1.0, len(some) / LANDING)
-    return [some[int(i * step)] for i in range(min(LANDING, len(some)))]
-
-
-def landing(p: list[float], size: list[float], words: float, docs: float) -> None:
-    """Settle what is open: the choice that comes nearest to the words and, less so, to the number of documents."""
-    open_ = [k for k in range(len(p)) if 0 < p[k] < 1]
-    whole, n = np.zeros(1), np.zeros(1)
-    for k in open_:  # the sums of all choices, one document after the other
-        whole, n = np.concatenate((whole, whole + size[k])), np.concatenate((n, n + 1))
-    words -= math.fsum(a * b for a, b in zip(p, size, strict=True) if a in (0.0, 1.0))
-    docs -= sum(x == 1.0 for x in p)
-    scale = max(1.0, sum(size[k] for k in open_) / max(1, len(open_)))
-    best = int(np.argmin(np.abs(whole - words) / scale + 0.02 * np.abs(n - docs)))
+    open_ = sorted((k for k in range(len(p)) if 0 < p[k] < 1), key=lambda k: (-p[k], k))
+    if not open_:
+        return
+    n, due, sizes = len(open_), np.array([p[k] for k in open_]), np.array([size[k] for k in open_])
+    choices = (np.arange(1 << n)[None, :] >> np.arange(n)[:, None] & 1).astype(float)
+    cost = np.abs(sizes @ choices - sizes @ due) / max(1.0, sizes.mean()) + DOCS_WEIGHT * np.abs(choices.sum(0) - due.sum())
+    rules, wanted = np.vstack((choices, np.ones(1 << n))), np.append(due, 1.0)
+    basis = [(1 << j) - 1 for j in range(n + 1)]  # nested choices, by falling probability
+    for _ in range(300):  # any round's design keeps the probabilities; later ones come nearer
+        square = rules[:, basis]
+        gain = cost - np.linalg.solve(square.T, cost[basis]) @ rules
+        enters = int(np.argmin(gain))
+        if gain[enters] > -1e-9:
+            break
+        shares, change = np.linalg.solve(square, wanted), np.linalg.solve(square, rules[:, enters])
+        ratio = np.where(change > 1e-9, np.maximum(shares, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        basis[min(range(n + 1), key=lambda i: (ratio[i], basis[i]))] = enters
+    shares = np.maximum(np.linalg.solve(rules[:, basis], wanted), 0)
+    drawn = basis[min(int(np.searchsorted(np.cumsum(shares), next(_uniform(seed)) * shares.sum(), side="right")), n)]
     for j, k in enumerate(open_):
-        p[k] = float(best >> j & 1)
+        p[k] = float(drawn >> j & 1)
 
 
 def _move(rows: DataFrame, keys: list[str], last: bool, seed: str) -> DataFrame:
     """One flight over each block: rows (source, block, key, size, p); in the last one each source lands."""
 
     def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")  # the last ones open are small
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
         p, size = pdf["p"].tolist(), [float(x) for x in pdf["size"]]
-        wanted = math.fsum(a * b for a, b in zip(p, size, strict=True)), math.fsum(p)
-        later = set(held_back(size, [k for k in range(len(p)) if 0 < p[k] < 1])) if last else set()
-        flying = [k for k in range(len(p)) if k not in later]
-        moved = [p[k] for k in flying]
-        flight(moved, [size[k] for k in flying], f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}")
-        for k, x in zip(flying, moved, strict=True):
-            p[k] = x
+        own = f"{seed}:{pdf['source'].iloc[0]}:{pdf['block'].iloc[0]}"
+        flight(p, size, own)
         if last:
-            landing(p, size, *wanted)
+            landing(p, size, f"{own}:landing")
         return pdf.assign(p=p)[["source", "block", "key", "size", "p"]]
 
     return rows.groupBy(*keys).applyInPandas(per_block, "source string, block long, key string, size long, p double")
 
 
+def sized_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, h (a hash of the text) and number of each row; equal rows are told apart by the number.
+
+    Where rows repeat, they are numbered inside their part of the table and after the parts before it, so no task has
+    to hold all rows of one kind.
+    """
+    same, t = ["doc_id", "source", "h"], F.coalesce("text", F.lit(""))
+    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(t).alias("h")).withColumn("part", F.spark_partition_id()), "sizes")
+    if sized.groupBy(*same).count().filter("count > 1").isEmpty():
+        return sized.withColumn("number", F.lit(1).cast("long")).drop("part")
+    per_part = sized.groupBy(*same, "part").agg(F.count("*").alias("k"))
+    before = per_part.withColumn("before", F.coalesce(F.sum("k").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = sized.withColumn("at", F.row_number().over(Window.partitionBy(*same, "part").orderBy("size")))
+    met = (F.col("i.part") == F.col("b.part")) & (F.col("i.h") == F.col("b.h")) & F.col("i.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("i.source").eqNullSafe(F.col("b.source"))
+    return inside.alias("i").join(before.alias("b"), met).select("i.doc_id", "i.source", "i.size", "i.h", (F.col("i.at") + F.col("b.before")).alias("number"))
+
+
 def take_counts(sized: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (int): how often the mix takes each row.
+    """doc_id, source, size, h, number, source_size, target, copies (int): how often the mix takes each row.
 
-    ``sized`` has doc_id, source and size. Sources of size 0 take no extra copies; null is a source of its own. Rows
-    with the same id and size are told apart by a number, so repeated rows are drawn one by one. An empty table gives
-    no rows. Draws depend on ids, sizes and the seed only, so reruns agree.
+    ``sized`` is as of :func:`sized_rows`. Each copy count is floor(r) or one more, r on average, where r is the
+    source's target over its size. Sources of size 0 take nothing; null is a source of its own. Repeated rows are drawn
+    one by one. An empty table gives no rows. Draws depend on ids, texts and the seed only, so reruns agree.
     """
     prepare(sized.sparkSession)
     per = materialise(targets(sized), "targets")
     most = per.agg(F.max("n")).first()[0] or 0
-    twins = Window.partitionBy("doc_id", "source", "size").orderBy("doc_id")
-    rows = sized.alias("d").join(per.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.n")
+    rows = sized.alias("d").join(per.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.n")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    key = F.concat_ws("#", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.row_number().over(twins).cast("string"))
+    key = F.concat_ws("#", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.hex("h"), F.col("number").cast("string"))
     base = rows.withColumn("base", F.floor(ratio + 1e-12).cast("int")).withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0))).withColumn("key", key)
     base = materialise(base, "mix-rows")
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("long")
@@ -159,26 +183,51 @@ def take_counts(sized: DataFrame, seed: str = "mix") -> DataFrame:
         settled.append(moved.filter((F.col("p") <= 0) | (F.col("p") >= 1)).select("source", "key", "size", F.col("p").cast("int").alias("extra")))
         if last:
             break
-        # each block leaves two rows at most, so a thousand blocks make a block of the next level
-        most_blocks, level = math.ceil(most_blocks / 1024), level + 1
-        left = moved.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("block", F.floor(F.col("block") / 1024).cast("long"))
+        # each block leaves OPEN rows at most, so some hundred blocks make a block of the next level
+        most_blocks, level = math.ceil(most_blocks * OPEN / BLOCK), level + 1
+        left = moved.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("block", F.floor(F.col("block") * OPEN / BLOCK).cast("long"))
     extra = settled[0]
     for x in settled[1:]:
         extra = extra.unionByName(x)
     same = F.col("b.source").eqNullSafe(F.col("e.source")) & (F.col("b.key") == F.col("e.key")) & (F.col("b.size") == F.col("e.size"))
-    return base.alias("b").join(extra.alias("e"), same, "left").select("b.doc_id", "b.source", "b.size", "b.source_size", "b.target", (F.col("b.base") + F.coalesce("e.extra", F.lit(0))).alias("copies"))
+    return base.alias("b").join(extra.alias("e"), same, "left").select(*[f"b.{c}" for c in ("doc_id", "source", "size", "h", "number", "source_size", "target")], (F.col("b.base") + F.coalesce("e.extra", F.lit(0))).alias("copies"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
-    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    return take_counts(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    """doc_id, size, source_size, target, taken, copies for every row of ``docs``.
+
+    Null and empty texts have size 0 and take no words; null source and doc_id are values like others; repeated rows
+    have a draw each; other columns are ignored and an empty table gives no rows.
+    """
+    return take_counts(sized_rows(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken. Rows with the same doc_id are taken alike by order of size."""
-    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    copies = take_counts(sized).groupBy("doc_id", "source", "size").agg(F.floor(F.avg("copies") + 0.5).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_size", size_of(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(copies["doc_id"]) & keyed["source"].eqNullSafe(copies["source"]) & (keyed["_size"] == copies["size"])
-    return keyed.join(copies, same).select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_copies"))).alias("_i")).filter(F.col("_i") > 0).drop("_i")
+    """The mix itself: each row of ``docs`` as often as :func:`mix_report` takes it, with its columns as they are.
+
+    Rows with equal doc_id, source and text are one kind: each comes as often as all of the kind on average, and so many
+    of them once more (by a numbering of that kind's rows) that the kind's total is the report's.
+    """
+    kinds = take_counts(sized_rows(docs)).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    kinds = materialise(kinds, "kinds")
+    name = free_name("kind", docs)
+    own = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda rows: own["doc_id"].eqNullSafe(rows["doc_id"]) & own["source"].eqNullSafe(rows["source"]) & (own[name] == rows["h"])
+    of = lambda rows, *more: own.join(rows, same(rows)).select(*[own[c] for c in docs.columns], *more)
+    sure = kinds.filter(F.floor(F.col("total") / F.col("rows")) > 0)
+    taken = of(sure, F.explode(F.sequence(F.lit(1), F.floor(F.col("total") / F.col("rows")).cast("int"))).alias(name)).drop(name)
+    some = kinds.filter((F.col("rows") > 1) & (F.col("total") % F.col("rows") > 0))
+    if some.isEmpty():
+        return taken
+    # the rows of repeated kinds only: numbered in parts, so that none has to meet all others of its kind
+    part, number = free_name("part", docs), free_name("number", docs)
+    few = materialise(of(some, some["h"].alias(name), (some["total"] % some["rows"]).alias(number)).withColumn(part, F.spark_partition_id()), "repeated-rows")
+    key = ["doc_id", "source", name]
+    per_part = few.groupBy(*key, part).agg(F.count("*").alias("k"))
+    before = per_part.select(*key, part, F.coalesce(F.sum("k").over(Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    at = free_name("at", few)
+    inside = few.withColumn(at, F.row_number().over(Window.partitionBy(*key, part).orderBy(name)))
+    i, b = (lambda c: F.col(f"i.`{c}`")), (lambda c: F.col(f"b.`{c}`"))
+    met = (i(part) == b(part)) & (i(name) == b(name)) & i("doc_id").eqNullSafe(b("doc_id")) & i("source").eqNullSafe(b("source"))
+    more = inside.alias("i").join(before.alias("b"), met).filter(i(at) + b("before") <= i(number)).select(*[i(c).alias(c) for c in docs.columns])
+    return taken.unionByName(more)

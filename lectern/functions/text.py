@@ -232,6 +232,45 @@ def segments(full: Column, start: Column, text: Column, spans: Column) -> Column
     return _let(done, lambda d: F.concat(d["out"], plain(d["at"], end)))
 
 
+_ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
+
+def utf16_offset(t: Column, at: Column) -> Column:
+    """UTF-16 units before the ``at``-th code point (from 0; past the end: of the whole text)."""
+    head = F.left(t, F.greatest(at, F.lit(0)))
+    return F.length(head) + F.regexp_count(head, F.lit(_ASTRAL))
+
+
+def code_point_offset(t: Column, at: Column) -> Column:
+    """Code points that begin before the ``at``-th UTF-16 unit; a cut through a pair counts its first half."""
+    head = F.left(t, F.greatest(at, F.lit(0)))
+    step = lambda s, c: F.when(s["units"] >= at, s).otherwise(F.struct((s["units"] + F.when(c.rlike(_ASTRAL), 2).otherwise(1)).alias("units"), (s["n"] + 1).alias("n")))
+    walked = F.aggregate(F.array_remove(F.split(head, ""), ""), F.struct(F.lit(0).alias("units"), F.lit(0).alias("n")), step)["n"]
+    return F.when(head.rlike(_ASTRAL), walked).otherwise(F.length(head))
+
+
+#: Titles that say nothing, endings of file names, and programs that sign as author.
+PLACEHOLDER_TITLES = ("untitled", "unknown", "microsoft word", "document", "pdf")
+FILE_NAME = r"\.(pdf|docx?|tex|indd)$"
+SOFTWARE_NAMES = (
+    "microsoft word", "microsoft powerpoint", "microsoft office word", "word", "adobe acrobat", "acrobat", "adobe indesign", "adobe illustrator", "libreoffice", "openoffice",
+    "libreoffice writer", "openoffice writer", "pages", "preview", "quartz pdfcontext", "ghostscript", "pdftex", "latex", "pdflatex", "xetex", "xelatex", "tex", "google docs", "unknown", "user", "administrator", "untitled",
+)
+
+
+def is_plausible_title(t: Column) -> Column:
+    """Whether an embedded title is one: 8 to 400 characters, no placeholder and no file name. Null is not."""
+    bare = strip(F.coalesce(t, F.lit("")))
+    low = F.lower(bare)
+    named = F.exists(F.array(*[F.lit(x) for x in PLACEHOLDER_TITLES]), lambda x: F.contains(low, x))
+    return F.length(bare).between(8, 400) & ~named & ~low.rlike(FILE_NAME)
+
+
+def is_software_name(t: Column) -> Column:
+    """Whether an author field holds a program's name, whole and in any case."""
+    return F.lower(collapse(F.coalesce(t, F.lit("")))).isin(*SOFTWARE_NAMES)
+
+
 def safe_filename(name: Column) -> Column:
     base = F.regexp_extract(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
     return F.coalesce(F.nullif(F.substring(strip(F.regexp_replace(base, "[^A-Za-z0-9 ._-]", "")), 1, 120), F.lit("")), F.lit("upload"))

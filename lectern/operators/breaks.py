@@ -101,11 +101,33 @@ def ladder(pairs: DataFrame, start: str, most: int = 8) -> DataFrame:
     return seen
 
 
+def parse_hex(colour: Column) -> Column:
+    """A colour as #rrggbb in lower case, from three or six digits; null if it is none."""
+    c = F.lower(F.trim(colour))
+    return F.when(c.rlike("^#[0-9a-f]{3}$"), F.regexp_replace(c, "([0-9a-f])", "$1$1")).when(c.rlike("^#[0-9a-f]{6}$"), c)
+
+
+def _channel(colour: Column, i: int) -> Column:
+    return F.conv(F.substring(colour, 2 * i, 2), 16, 10).cast("int")
+
+
 def luminance(colour: Column) -> Column:
     """Relative luminance of #rrggbb."""
-    channel = lambda i: F.conv(F.substring(colour, i, 2), 16, 10).cast("double") / 255
     linear = lambda c: F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, 2.4))
-    return 0.2126 * linear(channel(2)) + 0.7152 * linear(channel(4)) + 0.0722 * linear(channel(6))
+    red, green, blue = (linear(_channel(colour, i) / 255) for i in (1, 2, 3))
+    return 0.2126 * red + 0.7152 * green + 0.0722 * blue
+
+
+def blend(a: Column, b: Column, share: Column) -> Column:
+    """The colour that lies ``share`` (0 to 1) of the way from one #rrggbb to another, channels rounded half up."""
+    k = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    part = lambda i: F.lower(F.lpad(F.hex(F.floor(_channel(a, i) + (_channel(b, i) - _channel(a, i)) * k + 0.5).cast("long")), 2, "0"))
+    return F.concat(F.lit("#"), part(1), part(2), part(3))
+
+
+def readable_on(ground: Column) -> Column:
+    """White or black, whichever stands out more."""
+    return F.when(contrast(F.lit("#ffffff"), ground) >= contrast(F.lit("#000000"), ground), "#ffffff").otherwise("#000000")
 
 
 def contrast(a: Column, b: Column) -> Column:

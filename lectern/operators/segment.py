@@ -111,6 +111,13 @@ def micro_sessions(chapter_text: Column, least: int = 400, most: int = 600) -> C
     return _let(_let(ps, lambda p: pack(p, least, most)), lambda p: with_prompts(p))
 
 
+def chunk_section(section_text: Column, least: int = 180, most: int = 320) -> Column:
+    """Chunks of a research section: passages of its paragraphs without cliffhangers or prompts."""
+    plain = F.transform(T.paragraphs(section_text), lambda p: split_oversized(p, most))
+    packed = _let(F.flatten(plain), lambda p: pack(p, least, most))
+    return F.transform(packed, lambda p: p.withField("is_cliffhanger", F.lit(False)).withField("has_prompt", F.lit(False)))
+
+
 def headings(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, line_no, line, …) that are headings, once for each style they fit, with style, number and title."""
     fits = [

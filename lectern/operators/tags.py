@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern import dims
+from lectern.functions.text import collapse
 
 
 def shown(tags: DataFrame) -> DataFrame:
@@ -33,6 +34,50 @@ def parse_reply(reply: Column) -> Column:
     return F.when(is_list & items.isNotNull() & F.coalesce(fits, F.lit(False)) & F.coalesce(whole_numbers, F.lit(False)) & distinct, best)
 
 
+def parse_key_points(reply: Column, most: int = 5, chars: int = 240) -> Column:
+    """array<string> of a reply's first points, white space collapsed, cut to ``chars``, without empty ones.
+
+    Null if the reply is no JSON object with a list of points, or one of those taken is not a string; an empty list is
+    valid. A fence around the JSON is taken off.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    points = F.slice(F.try_variant_get(F.try_parse_json(text), "$.points", "array<variant>"), 1, most)
+    strings = F.forall(points, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    tidy = F.transform(points, lambda x: F.trim(F.left(collapse(F.try_variant_get(x, "$", "string")), F.lit(chars))))
+    return F.when(points.isNotNull() & strings, F.filter(tidy, lambda x: x != ""))
+
+
+def valid_entries(themes: Column) -> Column:
+    """Whether a tag file's list of (theme, score) holds only themes of the list with scores from 1 to 5; null does not."""
+    fits = F.forall(themes, lambda t: F.coalesce(t["theme"].isin(*dims.THEMES) & t["score"].between(1, 5), F.lit(False)))
+    return themes.isNotNull() & F.coalesce(fits, F.lit(False))
+
+
+def judged_entries(entries: DataFrame, books: DataFrame, sessions: DataFrame, done: DataFrame) -> DataFrame:
+    """The chunks of a tag file (gutenberg_id, chapter, session, hash, themes) with session_id and outcome.
+
+    A chunk's book must be a shared one (``books``: book_id, gutenberg_id), else its outcome is missing_books, which
+    counts by book; place and hash of the text must be those of a passage (``sessions``: book_id, chapter_index,
+    session_index, session_id, text), else mismatched; a passage in ``done`` (session_id) is skipped_existing; bad
+    themes make it invalid; the rest is imported.
+    """
+    placed = sessions.select("book_id", F.col("chapter_index").alias("chapter"), F.col("session_index").alias("session"), "session_id", chunk_hash(F.col("text")).alias("own_hash"))
+    met = entries.join(books.select("gutenberg_id", "book_id"), "gutenberg_id", "left").join(placed, ["book_id", "chapter", "session"], "left").join(done.select("session_id", F.lit(True).alias("tagged")), "session_id", "left")
+    outcome = (
+        F.when(F.col("book_id").isNull(), "missing_books")
+        .when(~F.col("hash").eqNullSafe(F.col("own_hash")) | F.col("session_id").isNull(), "mismatched")
+        .when(F.col("tagged"), "skipped_existing")
+        .when(~valid_entries(F.col("themes")), "invalid")
+        .otherwise("imported")
+    )
+    return met.withColumn("outcome", outcome).select(*entries.columns, "session_id", "outcome")
+
+
+def import_outcomes(judged: DataFrame) -> DataFrame:
+    """(outcome, n): chunks by outcome, but books for missing_books."""
+    return judged.groupBy("outcome").agg(F.count("*").alias("chunks"), F.countDistinct("gutenberg_id").alias("books")).select("outcome", F.when(F.col("outcome") == "missing_books", F.col("books")).otherwise(F.col("chunks")).alias("n"))
+
+
 def theme_map(tags: DataFrame, numbered: DataFrame) -> DataFrame:
     """theme -> its cells [{pos, session_id, score}] by position, and how many, by book."""
     placed = shown(tags).join(numbered.select("session_id", (F.col("session_no") - 1).alias("pos")), "session_id")

@@ -4,7 +4,7 @@ import importlib
 import importlib.util
 
 #: Modules that register queries.
-MODULES = ("reader", "events", "tags", "notes", "text", "layout", "state", "extras")
+MODULES = ("reader", "events", "tags", "notes", "text", "layout", "state", "extras", "more")
 
 
 def load() -> tuple[dict, dict]:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lectern import dims
 from lectern.functions import text as T
-from lectern.operators import breaks, segment
+from lectern.operators import breaks, segment, tags
 from lectern.plans.registry import query
 from lectern.sources.adapters import adapt, table
 
@@ -42,13 +42,20 @@ def seg_04_hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("piece").cast("long").alias("piece"), F.greatest(T.word_count(F.col("text")), F.lit(0)).cast("long").alias("words"))
 
 
-@query("select event_id, case event_id % 3 when 0 then '[\"a b\",\"c\"]' end points from events")
+@query(
+    r"""with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') l from documents), p as (select doc_id, cast(least(doc_id % 8, len(l)) as int) n, l from l)
+    select doc_id, case when doc_id % 10 in (7, 8) then null when doc_id % 10 = 9 and n between 0 and 4 then null else md5(array_to_string(list_filter(list_transform(l[1:least(n, 5)], lambda x: trim(substring(trim(regexp_replace(x, '\s+', ' ', 'g')), 1, 240))), lambda x: x <> ''), chr(10))) end points_md5 from p"""
+)
 def jsn_03_key_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key points: at most five, collapsed, at most 240 characters each; else the whole reply is invalid."""
-    reply = F.element_at(F.array(F.lit('{"points": [" a  b", "c"]}'), F.lit('{"points": "x"}'), F.lit('{"points": []}')), (F.col("event_id") % 3 + 1).cast("int"))
-    items = F.from_json(reply, "points array<string>")["points"]
-    tidy = F.filter(F.transform(items, lambda x: F.substring(T.collapse(x), 1, 240)), lambda x: x != "")
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.size(tidy).between(1, 5), F.to_json(tidy)).alias("points"))
+    """Replies of up to seven lines of a text as points; some have no list, are no JSON, or end with a number."""
+    rows = table(spark, sf_dir, "documents").withColumn("l", T.lines(F.col("text")))
+    n, k = F.least(F.col("doc_id") % 8, F.size("l")).cast("int"), F.col("doc_id") % 10
+    listed = F.transform(F.slice("l", 1, n), lambda x: F.concat(F.lit("  "), F.replace(x, F.lit(" "), F.lit("   "))))
+    quoted = F.array_join(F.transform(listed, lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)), ",")
+    whole = F.concat(F.lit('```json\n{"points": ['), quoted, F.lit("]}\n```"))
+    numbered = F.concat(F.lit('{"points": ['), quoted, F.when(n > 0, ", 7").otherwise("7"), F.lit("]}"))
+    reply = F.when(k == 7, F.concat(F.lit('{"points": '), F.lit('"x"}'))).when(k == 8, F.col("text")).when(k == 9, numbered).otherwise(whole)
+    return rows.select("doc_id", F.md5(F.array_join(tags.parse_key_points(reply), "\n")).alias("points_md5"))
 
 
 @query("select event_id, coalesce(k % 2 = 0, false) no_date, case when k % 3 = 0 then 2 else 0 end n_captions from reads", "reads")
@@ -91,11 +98,28 @@ def mth_06_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("chunks")).withColumn("tokens", F.col("chunks") * dims.TOKENS_PER_CHUNK)
 
 
-@query("select event_id, case event_id % 3 when 0 then 'ok' when 1 then 'warn' else 'refuse' end verdict, case event_id % 3 when 0 then 21.0::double end black_on_white from events")
+_LINEAR = "list_transform([('0x' || substring({0}, {1}, 2))::int / 255.0::double], lambda c: case when c <= 0.03928 then c / 12.92 else pow((c + 0.055) / 1.055, 2.4) end)[1]"
+
+
+def _luma(colour: str) -> str:
+    return f"(0.2126::double * {_LINEAR.format(colour, 2)} + 0.7152::double * {_LINEAR.format(colour, 4)} + 0.0722::double * {_LINEAR.format(colour, 6)})"
+
+
+_MIXED = " || ".join(f"printf('%02x', cast(floor(('0x' || substring(t, {i}, 2))::int + (255 - ('0x' || substring(t, {i}, 2))::int) * (event_id % 11 / 10.0::double) + 0.5) as int))" for i in (2, 4, 6))
+
+
+@query(
+    f"""with c as (select event_id, case when event_id % 9 = 0 then '#' || repeat(printf('%x', event_id % 16), 6) else '#' || printf('%06x', event_id * 7919 % 16777216) end t from events), g as (select *, '#' || {_MIXED} g from c),
+    l as (select *, {_luma("t")} lt, {_luma("g")} lg from g), r as (select *, (greatest(lt, lg) + 0.05::double) / (least(lt, lg) + 0.05::double) c from l)
+    select event_id, g ground, case when c >= 4.5 then 'ok' when c >= 3 then 'warn' else 'refuse' end verdict, cast(round(c, 6) as double) contrast, case when 1.05::double / (lg + 0.05::double) >= (lg + 0.05::double) / 0.05::double then '#ffffff' else '#000000' end readable from r"""
+)
 def mth_08_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(F.lit("#000000"), F.lit("#888888"), F.lit("#cccccc")), (F.col("event_id") % 3 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
-    return rows.select("event_id", breaks.palette_check(F.col("t"), F.lit("#ffffff")).alias("verdict"), F.when(F.col("t") == "#000000", F.round(breaks.contrast(F.col("t"), F.lit("#ffffff")), 6)).alias("black_on_white"))
+    """Colours all over the cube, some written in three digits or capitals, on grounds between them and white."""
+    e = F.col("event_id")
+    typed = F.when(e % 9 == 0, F.concat(F.lit("#"), F.repeat(F.hex(e % 16), F.lit(3)))).otherwise(F.concat(F.lit(" #"), F.lpad(F.hex(e * 7919 % 16777216), 6, "0")))
+    rows = table(spark, sf_dir, "events").select("event_id", breaks.parse_hex(typed).alias("t"))
+    rows = rows.withColumn("ground", breaks.blend(F.col("t"), F.lit("#ffffff"), e % 11 / 10))
+    return rows.select("event_id", "ground", breaks.palette_check(F.col("t"), F.col("ground")).alias("verdict"), F.round(breaks.contrast(F.col("t"), F.col("ground")), 6).alias("contrast"), breaks.readable_on(F.col("ground")).alias("readable"))
 
 
 @query(

@@ -160,13 +160,29 @@ def str_26_jn_07_chunk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt(spark, sf_dir, "sessions").select("chapter_index", "session_index", "session_id", tags.chunk_hash(F.col("text")).alias("hash"))
 
 
+_ENTRIES = """e as (select case when book_id % 6 = 5 then 9000 + book_id when book_id % 4 = 3 then 8000 + book_id else 1000 + book_id end gutenberg_id, case when session_id % 13 = 0 then chapter_index + 5000 else chapter_index end chapter, session_index as session,
+    substring(sha256(array_to_string(list_filter(string_split(case when session_id % 7 = 0 then text || ' x' else text end, ' '), lambda x: x <> ''), ' ')), 1, 16) hash, cast(session_id % 8 as int) score, session_id, session_id % 17 = 0 unknown from sessions)"""
+
+
 @query(
-    """with r as (select case when n % 11 = 0 then 'missing_books' when n % 7 = 0 then 'mismatched' when score > 4 then 'invalid' when n % 5 = 0 then 'skipped_existing' else 'imported' end outcome from tags) select outcome, count(*) n from r group by 1""",
-    "tags",
-)
+    f"""with {_ENTRIES}, b as (select e.*, k.book_id from e left join books k on k.gutenberg_id = e.gutenberg_id and k.owner_user_id is null),
+    s as (select book_id, chapter_index, session_index, session_id own, substring(sha256(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ')), 1, 16) own_hash from sessions),
+    j as (select b.gutenberg_id, case when b.book_id is null then 'missing_books' when s.own is null or b.hash <> s.own_hash then 'mismatched' when s.own % 5 = 0 then 'skipped_existing' when b.unknown or b.score not between 1 and 5 then 'invalid' else 'imported' end outcome
+      from b left join s on s.book_id = b.book_id and s.chapter_index = b.chapter and s.session_index = b.session)
+    select outcome, case when outcome = 'missing_books' then count(distinct gutenberg_id) else count(*) end n from j group by 1""",
+    "books", "sessions",
+)
 def agg_22_src_11_import_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = F.when(F.col("n") % 11 == 0, "missing_books").when(F.col("n") % 7 == 0, "mismatched").when(F.col("score") > 4, "invalid").when(F.col("n") % 5 == 0, "skipped_existing").otherwise("imported")
-    return adapt(spark, sf_dir, "tags").select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    """A tag file of every passage: some books are not shared, some places and texts changed, some are tagged, some themes wrong."""
+    sessions = adapt(spark, sf_dir, "sessions")
+    book, i = F.col("book_id"), F.col("session_id")
+    theme = F.struct(F.when(i % 17 == 0, "cooking").otherwise("romance").alias("theme"), (i % 8).cast("int").alias("score"))
+    entries = sessions.select(
+        F.when(book % 6 == 5, 9000 + book).when(book % 4 == 3, 8000 + book).otherwise(1000 + book).alias("gutenberg_id"), F.when(i % 13 == 0, F.col("chapter_index") + 5000).otherwise(F.col("chapter_index")).alias("chapter"),
+        F.col("session_index").alias("session"), tags.chunk_hash(F.when(i % 7 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))).alias("hash"), F.array(theme).alias("themes"),
+    )
+    books = adapt(spark, sf_dir, "books").filter("owner_user_id is null")
+    return tags.import_outcomes(tags.judged_entries(entries, books, sessions, sessions.filter(i % 5 == 0)))
 
 
 @query(

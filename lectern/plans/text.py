@@ -58,9 +58,14 @@ def str_13_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
 
 
-@query("select event_id, coalesce(case event_id % 5 when 0 then 4 when 1 then 9 when 2 then 1944 when 3 then null when 4 then 48 end, null) n from events")
+@query("select event_id, case when event_id % 11 <> 10 then cast(event_id % 3999 + 1 as int) end n from events")
 def str_14_roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*[F.lit(x) for x in ("IV", "ix", "MCMXLIV", "Q4", "XLVIII")]), (F.col("event_id") % 5 + 1).cast("int"))
+    """Numerals of all numbers to 3,999 as the events count, in capitals or not, and some texts that are none."""
+    n = F.col("event_id") % 3999 + 1
+    digits = lambda one, five, ten: ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)
+    place = lambda power, *letters: F.element_at(F.array(*[F.lit(x) for x in digits(*letters)]), (F.floor(n / power) % 10 + 1).cast("int"))
+    numeral = F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), place(100, "C", "D", "M"), place(10, "X", "L", "C"), place(1, "I", "V", "X"))
+    text = F.when(F.col("event_id") % 11 == 10, F.concat(numeral, F.lit("q"))).when(F.col("event_id") % 2 == 0, F.lower(numeral)).otherwise(numeral)
     return table(spark, sf_dir, "events").select("event_id", T.roman(text).alias("n"))
 
 
@@ -77,22 +82,44 @@ def str_05_16_listing_verse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(ls).alias("n_lines"), T.is_listing(F.col("text")).alias("listing"), F.coalesce(verse, F.lit(False)).alias("short_lines"))
 
 
-@query("select event_id, case event_id % 4 when 0 then 'passwd' when 1 then 'My Book.txt' when 2 then 'upload' else 'a b-c_d.pdf' end safe from events")
+_NAMED = "case page_id % 4 when 0 then url when 1 then replace(url, '/', chr(92)) || '.t<x>t' when 2 then url || '?a=' || repeat('long ', 40) else url || '/' end"
+
+
+@query(
+    f"""with n as (select page_id, {_NAMED} as name from pages) select page_id, coalesce(nullif(substring(trim(regexp_replace(regexp_extract(replace(coalesce(name, ''), chr(92), '/'), '([^/]*)$', 1), '[^A-Za-z0-9 ._-]', '', 'g')), 1, 120), ''), 'upload') safe from n"""
+)
 def src_13_safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.element_at(F.array(*[F.lit(x) for x in ("../../etc/passwd", "C:\\docs\\My <Book>.txt", "///", "a b-c_d.pdf")]), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", T.safe_filename(name).alias("safe"))
+    """Addresses of pages as file names: with either slash, signs, spaces at the cut, or nothing after the last slash."""
+    k = F.col("page_id") % 4
+    name = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.replace("url", F.lit("/"), F.lit("\\")), F.lit(".t<x>t"))).when(k == 2, F.concat("url", F.lit("?a="), F.repeat(F.lit("long "), F.lit(40)))).otherwise(F.concat("url", F.lit("/")))
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(name).alias("safe"))
+
 
+_ENDS = (".txt", ".TXT", ".pdf", ".epub", ".doc", "", ".Pdf")
 
-@query("select event_id, case event_id % 4 when 0 then 'pdf' when 1 then 'txt' end format, case event_id % 4 when 2 then 'extension_mismatch' when 3 then 'unsupported_extension' end error from events")
+
+@query(
+    f"""with f as (select doc_id, lower(regexp_extract(source || ({list(_ENDS)})[cast(doc_id % 7 + 1 as int)], '\\.([^.]*)$', 1)) ext, case doc_id % 5 when 0 then 'pdf' when 1 then 'epub' else 'txt' end actual from documents),
+    e as (select *, case when ext not in ('txt', 'epub', 'pdf') then 'unsupported_extension' when ext <> actual then 'extension_mismatch' end error from f) select doc_id, case when error is null then actual end format, error from e"""
+)
 def src_02_format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("event_id") % 4 + 1).cast("int"))
-    sniffed = T.sniff(pick("a.pdf", "b.TXT", "c.txt", "d.doc"), F.encode(pick("%PDF-1.7", "plain", "%PDF-1.4", "x"), "UTF-8"))
-    return table(spark, sf_dir, "events").select("event_id", sniffed.alias("s")).select("event_id", "s.format", "s.error")
+    """Whole texts, bare or after the first bytes of other formats, under all endings."""
+    end = F.element_at(F.array(*[F.lit(x) for x in _ENDS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    head = F.when(F.col("doc_id") % 5 == 0, F.lit("%PDF-1.7\n")).when(F.col("doc_id") % 5 == 1, F.lit("PK\u0003\u0004")).otherwise("")
+    sniffed = T.sniff(F.concat("source", end), F.encode(F.concat(head, F.col("text")), "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", sniffed.alias("s")).select("doc_id", "s.format", "s.error")
 
 
-@query("select doc_id, md5(text) decoded_md5 from documents")
+@query(
+    r"""select doc_id, case when doc_id % 5 <> 4 then md5(case doc_id % 5 when 1 then regexp_replace(t, '[^\x00-\x{FF}]', '?', 'g') when 2 then chr(65279) || t else t end) end decoded_md5 from (select doc_id, case when doc_id % 5 < 4 and doc_id % 5 > 0 then 'déjà vu ' || text else text end t from documents)"""
+)
 def src_03_text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.decode_text(F.encode("text", "UTF-8"))).alias("decoded_md5"))
+    """Whole texts in UTF-8, in Latin-1, with a byte order mark, with carriage returns, and garbled by control characters."""
+    k = F.col("doc_id") % 5
+    t = F.when((k > 0) & (k < 4), F.concat(F.lit("déjà vu "), F.col("text"))).otherwise(F.col("text"))
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    raw = F.when(k == 1, F.encode(t, "ISO-8859-1")).when(k == 2, utf8(F.concat(F.lit("﻿"), t))).when(k == 3, utf8(F.replace(t, F.lit("\n"), F.lit("\r\n")))).when(k == 4, utf8(F.concat(F.repeat(F.lit("\u0001"), F.lit(20_000)), t))).otherwise(utf8(t))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.decode_text(raw)).alias("decoded_md5"))
 
 
 @query(

@@ -42,7 +42,9 @@ ADAPTERS = {
     "reads": """select event_id, user_id, ts, event_type, cast(floor(value * 20) as int) as words, ({k} + 1) * 3000 as active_ms, cast(user_id % 20 as int) as book_id, value, {k} as k
         from {events}""",
     "days": "select distinct user_id, {day} as day from {events}",
-    "highlights": """select event_id as highlight_id, user_id, event_id % 97 as session_id, {k} as start_at, {k} + 1 + cast(floor(value) as int) % 40 as end_at, ts
+    # spans on every document, from its start to beyond its end
+    "highlights": """select event_id as highlight_id, user_id, (event_id * 31) % (select max(doc_id) + 1 from {documents}) as session_id, cast({k} + (event_id % 150) * 15 as int) as start_at,
+        cast({k} + (event_id % 150) * 15 + 1 + cast(floor(value) as int) % 40 as int) as end_at, ts
         from {events}""",
 }
 _NEEDS = {"sessions": ["chapters"], "tags": ["chapters", "sessions"]}

@@ -47,7 +47,7 @@ def test_pace_trend(spark):
 def test_pace_limits_before_it_filters(spark):
     rows = [(1000 + i, 1, 1, 1) for i in range(40)] + [(i, 1, 400, 120_000) for i in range(10)]
     got = events.pace(spark.createDataFrame(rows, "event_id long, user_id long, words int, active_ms int")).first()
-    assert (got.n_samples, got.trend) == (0, "estimate")
+    assert (got.n_samples, got.trend, got.is_estimate) == (0, "steady", True)
 
 
 @pytest.mark.parametrize(("n", "level"), [(0, 1), (4, 1), (5, 2), (14, 2), (15, 3)])

@@ -9,7 +9,7 @@ from lectern.functions import text as T
 from lectern.operators import layout, quiz, segment
 from lectern.plans.registry import query
 from lectern.sources import files
-from lectern.sources.adapters import table
+from lectern.sources.adapters import adapt, table
 
 
 def _md5(parts: Column) -> Column:
@@ -168,3 +168,61 @@ def str_18_epub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items named and typed in many ways, all combinations of both."""
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", files.skipped_item(F.concat(pick(_NAMES), "source"), F.split(pick(_KINDS), " ")).alias("skipped"))
+
+
+_q = lambda t: t.replace("'", "''")
+_LINE_FORMS = """case cast(session_id % 9 as int) when 0 then 'Ann ' || initcap_ || ', B. van Doe and Carl Poe' when 1 then initcap_ || ' Lee; Eve Moe · J. K. Rey' when 2 then initcap_ || ' & the data' when 3 then initcap_ || ' Roe, University of X' when 4 then initcap_ || ' A B C D'
+      when 5 then initcap_ when 6 then initcap_ || ' Roe,' else text end"""
+
+
+@query(
+    f"""with n as (select session_id, text, upper(substring(w, 1, 1)) || substring(w, 2) initcap_ from (select session_id, text, string_split(trim(text), ' ')[1] w from sessions)), l as (select session_id, {_LINE_FORMS} t from n),
+    b as (select session_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) b from l), p as (select session_id, b, list_filter(list_transform(string_split_regex(b, '(?i),|;|\\sand\\s|\\s&\\s|·|\\|'), lambda x: trim(x)), lambda x: x <> '') names from b)
+    select session_id, b <> '' and length(b) <= 120 and not regexp_matches(b, '{_q(T.NO_NAME)}') and not regexp_matches(b, '[A-Za-z]{{2,}}\\.(\\s|$)') and not regexp_matches(b, '[,;:]$') and len(names) between 1 and 12
+      and len(list_filter(names, lambda x: len(string_split(x, ' ')) > 4 or len(list_filter(string_split(x, ' '), lambda y: not (regexp_matches(y, '^[A-Z]\\.?$') or (not list_contains({list(T.PROSE_WORDS)}, lower(trim(y, '.'))) and regexp_matches(y, '{_q(T.NAME_TOKEN)}'))))) > 0)) = 0
+      and (len(names) > 1 or len(string_split(names[1], ' ')) > 1) byline from p""",
+    "sessions",
+)
+def str_21_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text, some made into lists of names, with places, prose or signs that no name has."""
+    text, word = F.col("text"), F.split(F.trim("text"), " ")[0]
+    w = F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))
+    ends = [F.concat(F.lit("Ann "), w, F.lit(", B. van Doe and Carl Poe")), *[F.concat(w, F.lit(x)) for x in (" Lee; Eve Moe · J. K. Rey", " & the data", " Roe, University of X", " A B C D", "", " Roe,")], text, text]
+    line = F.element_at(F.array(*ends), (F.col("session_id") % 9 + 1).cast("int"))
+    return adapt(spark, sf_dir, "sessions").select("session_id", T.is_byline(line).alias("byline"))
+
+
+_SPLIT = r"""g as (select doc_id, t, string_split_regex(t, '\n{2,}') l, regexp_extract_all(t, '\n{2,}') gaps from (select doc_id, regexp_replace(text, '([.!?])\n', '\1' || chr(10) || chr(10) || chr(10), 'g') t from documents)),
+    s as (select doc_id, t, unnest(l) p, unnest(list_transform(range(1, len(l) + 1), lambda i: cast(coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gaps[1:i - 1], lambda x: length(x))), 0) as int))) a from g)"""
+
+
+@query(
+    f"""with {_SPLIT}, h as (select s.*, cast(doc_id % 97 as int) x, cast(doc_id % 97 + 1 + doc_id % 300 as int) y, doc_id % 5 = 0 or doc_id % 97 + 1 + doc_id % 300 > length(t) stale from s),
+    c as (select *, not stale and greatest(x, a) < least(y, a + length(p)) drawn, greatest(x, a) u, least(y, a + length(p)) v from h)
+    select doc_id, a as start, case when not drawn then 1 else 1 + cast(u > a as int) + cast(v < a + length(p) as int) end pieces, case when drawn then substring(p, u - a + 1, v - u) end marked, md5(p) joined_md5 from c"""
+)
+def str_30_paragraph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of whole texts, cut by a span that may cover several, or be stale; its pieces together are the paragraph."""
+    at = F.col("doc_id") % 97
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"([.!?])\n", "$1\n\n\n").alias("t"), at.cast("int").alias("x"), (at + 1 + F.col("doc_id") % 300).cast("int").alias("y"))
+    own = F.substr(F.col("t"), F.col("x") + 1, F.col("y") - F.col("x"))
+    quote = F.when(F.col("doc_id") % 5 == 0, F.concat(own, F.lit("!"))).when(F.col("y") > F.length("t"), F.lit("past the end")).otherwise(own)
+    spans = F.array(F.struct(F.col("doc_id").alias("id"), F.col("x").alias("start"), F.col("y").alias("end"), quote.alias("quote")))
+    cut = rows.select("doc_id", "t", spans.alias("spans"), F.inline(T.paragraph_starts(F.col("t")))).select("doc_id", "start", T.segments(F.col("t"), F.col("start"), F.col("text"), F.col("spans")).alias("s"), "text")
+    pieces = F.when(F.col("text") == "", 1).otherwise(F.size("s"))
+    return cut.select("doc_id", "start", pieces.alias("pieces"), F.get(F.filter("s", lambda x: x["id"].isNotNull()), F.lit(0))["text"].alias("marked"), F.md5(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("joined_md5"))
+
+
+@query(
+    r"""with l as (select session_id, chapter_id, session_index, case cast(session_id % 11 as int) when 0 then 'Abstract' when 1 then '7. References' when 2 then 'B. Appendix' when 3 then '3.1 Acknowledgments to all' when 4 then 'IV. ' || text when 5 then 'WORKS CITED:' when 6 then 'Referencesx' else text end t from sessions),
+    k as (select *, lower(trim(regexp_replace(t, '^\s*(?:(?:[IVXLCDM]{1,6}|\d{1,2}(?:\.\d{1,2}){0,3}|[A-H])\s*[.)]\s+|(?:\d{1,2}(?:\.\d{1,2}){1,3})\s+)', ''))) b from l),
+    n as (select *, case when regexp_matches(b, '^(abstract|summary)\b') then 'abstract' when regexp_matches(b, '^(references|bibliography|works cited|literature cited)\b') then 'references' when regexp_matches(b, '^(appendi(x|ces)|supplementary|acknowledge?ments?)\b') then 'appendix' else 'body' end own from k)
+    select session_id, case when own = 'body' and coalesce(bool_or(own = 'references') over (partition by chapter_id order by session_index rows between unbounded preceding and 1 preceding), false) then 'references' else own end kind from n""",
+    "sessions",
+)
+def str_23_section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a title, some of them named and numbered sections; after the references, others are references too."""
+    text = F.col("text")
+    forms = [F.lit("Abstract"), F.lit("7. References"), F.lit("B. Appendix"), F.lit("3.1 Acknowledgments to all"), F.concat(F.lit("IV. "), text), F.lit("WORKS CITED:"), F.lit("Referencesx"), text, text, text, text]
+    rows = adapt(spark, sf_dir, "sessions").select("session_id", "chapter_id", "session_index", F.element_at(F.array(*forms), (F.col("session_id") % 11 + 1).cast("int")).alias("title"))
+    return layout.kinds_in_order(rows, F.col("title"), ["chapter_id"], "session_index").select("session_id", "kind")

@@ -10,14 +10,23 @@ from lectern import dims
 from lectern.functions import text as T
 
 
+#: Code points of a stretch of text in which spans meet.
+STRETCH = 256
+
+
 def overlaps(spans: DataFrame) -> DataFrame:
     """Pairs (a, b) of one reader's spans on one passage that overlap; spans that only touch do not.
 
-    Equality on reader and passage makes it a shuffle join; the interval test is the join's residual.
+    Each span goes to the stretches of STRETCH code points that it covers, and meets others there: reader, passage and
+    stretch are the join's keys, so spans far apart in a much-marked text never meet. A pair that shares several
+    stretches is kept in the one where the later span starts.
     """
-    a, b = spans.alias("a"), spans.alias("b")
-    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.highlight_id") < F.col("b.highlight_id"))
-    return a.join(b, same & (F.col("a.start_at") < F.col("b.end_at")) & (F.col("b.start_at") < F.col("a.end_at"))).select(F.col("a.highlight_id").alias("a"), F.col("b.highlight_id").alias("b"))
+    stretches = F.sequence(F.floor(F.col("start_at") / STRETCH), F.floor((F.greatest("end_at", F.col("start_at") + 1) - 1) / STRETCH))
+    placed = spans.select("highlight_id", "user_id", "session_id", "start_at", "end_at", F.explode(stretches).alias("stretch"))
+    a, b = placed.alias("a"), placed.alias("b")
+    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.highlight_id") < F.col("b.highlight_id"))
+    meet = (F.col("a.start_at") < F.col("b.end_at")) & (F.col("b.start_at") < F.col("a.end_at")) & (F.floor(F.greatest("a.start_at", "b.start_at") / STRETCH) == F.col("a.stretch"))
+    return a.join(b, same & meet).select(F.col("a.highlight_id").alias("a"), F.col("b.highlight_id").alias("b"))
 
 
 def quoted(spans: DataFrame) -> DataFrame:

@@ -129,11 +129,11 @@ def thinned(chapters: DataFrame, gap: int = 5) -> DataFrame:
 def stratified(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` rows spread evenly over books, what is left over to the first ones; by a hash of the id, so reruns agree."""
     books = rows.select("book_id").distinct()
-    k = books.agg(F.count("*").alias("k"))
-    quota = books.withColumn("b", F.row_number().over(Window.orderBy("book_id"))).crossJoin(F.broadcast(k))  # k is one row
-    quota = quota.select("book_id", (F.floor(F.lit(n) / F.col("k")) + (F.col("b") <= F.lit(n) % F.col("k")).cast("int")).alias("quota"))
+    each, over = divmod(n, max(1, books.count()))
+    favoured = books.orderBy("book_id").limit(over).withColumn("more", F.lit(1))  # fewer than n books, by partial top lists
     rank = F.row_number().over(Window.partitionBy("book_id").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("session_id").cast("string"))), "session_id"))
-    return rows.withColumn("rn", rank).join(quota, "book_id").filter("rn <= quota").drop("rn", "quota")
+    ranked = rows.withColumn("rn", rank).filter(F.col("rn") <= each + 1)
+    return ranked.join(favoured, "book_id", "left").filter(F.col("rn") <= each + F.coalesce("more", F.lit(0))).drop("rn", "more")
 
 
 def chunk_hash(text: Column) -> Column:

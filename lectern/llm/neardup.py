@@ -1,44 +1,45 @@
 """Near-duplicates by Order MinHash and banded alignment.
 
-A text's five-word k-mers are numbered by occurrence (two-word ones as well in short texts); for each of ROWS random orders the two least are kept in text
-order and hashed. Unlike plain MinHash, two texts share such a tuple only if they hold the same k-mers in the same
-order, so the chance follows edit similarity. Documents that share a tuple are candidates, and candidates whose words
-align with at most 20 % edits (an edit distance in a band of that width) are linked. Linked documents form classes.
-
-Scale: equal texts collapse by digest first. Cheap questions come first, because texts of one class need not be
-compared again: each text with the least text that it shares a bucket with; then, where classes differ, members of a
-bucket with its least one and with their neighbour in the order of another tuple (large buckets in salted parts); then
-with the bucket's most connected one. The rest is exact: every pair of a bucket whose classes still differ is asked,
-unless word counts in BINS bins show that it has too many edits. So classes are the connected parts of all alike pairs
-that share a bucket, whatever the partitions. Large buckets are met there in pairs of blocks, which bounds every task.
+A text's five-word k-mers are numbered by occurrence (two-word ones as well in short texts); for each of ROWS random
+orders the two least are kept in text order and hashed. Unlike plain MinHash, two texts share such a tuple only if they
+hold the same k-mers in the same order, so the chance follows edit similarity. Documents that share a tuple are
+candidates, and candidates whose words align with at most 20 % edits (an edit distance in a band of that width) are
+linked. Linked documents form classes.
+
+Scale: equal texts collapse by digest first, and each distinct text is a node. Of the buckets (texts with one tuple)
+only those of two or more texts are kept, by counts that combine before the shuffle and a join whose hot keys Spark can
+split. Cheap questions come first, because texts of one class need not be compared again: each text with the leader of
+most of its buckets; then, where classes differ, members of a bucket with its most connected one. The rest is exact:
+every pair of a bucket whose classes still differ is asked, unless its word counts show that it has too many edits.
+So classes are the connected parts of all alike pairs that share a bucket, whatever the partitions. A bucket's texts
+are met in pairs of blocks there, by ranges of length, which bounds every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import materialise, mix, prepare, token_hashes
+from lectern.llm.common import free_name, materialise, mix, prepare, token_hashes
 
-K, ROWS, TUPLE = 5, 32, 2
-#: Texts under SHORT words also get rows over SHORT_K-word k-mers: one edit spoils most five-word ones of a short text.
-SHORT, SHORT_K = 64, 2
+K, ROWS = 5, 72
 SIMILARITY = 0.8
-#: Buckets with more texts are met in salted parts first; how many there are follows from this bound.
-HOT_BUCKET = 256
-#: Ids up to this number (8 bytes each) are broadcast to pick texts; more go through a shuffle join.
+#: Texts under SHORT words, and those that may be alike to one, also get rows over SHORT_K-word k-mers: one edit spoils
+#: most five-word ones of a short text.
+SHORT, SHORT_K, SHORT_ROWS = 64, 2, 32
+#: Keys of texts up to this number (some 50 bytes each) are broadcast to pick texts; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Words are counted in so many bins by hash; the counts bound an edit distance from below.
-BINS = 64
+BINS = 512
 #: Texts of a bucket in a block; what is left of a bucket is asked in pairs of blocks.
-BLOCK = 256
+BLOCK = 4096
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_SEEDS = mix(np.arange(1, 2 * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, ROWS + SHORT_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def kmers(tokens: np.ndarray, k: int = K) -> np.ndarray:
@@ -64,27 +65,29 @@ def occurrences(values: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(tokens: np.ndarray) -> np.ndarray:
-    """ROWS tuple hashes of a text's words, twice as many of a short text's; none for a text without words."""
+    """ROWS tuple hashes of a text's words, SHORT_ROWS more of a short text's; none for a text without words."""
     if not len(tokens):
         return np.empty(0, np.uint64)
     rows = _rows(kmers(tokens), _SEEDS[:ROWS])
-    return np.concatenate((rows, _rows(kmers(tokens, SHORT_K), _SEEDS[ROWS:]))) if len(tokens) < SHORT else rows
+    return np.concatenate((rows, _rows(kmers(tokens, SHORT_K), _SEEDS[ROWS:]))) if SIMILARITY * len(tokens) < SHORT else rows
 
 
 def _rows(grams: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A hash of the two least k-mers, in text order, under each seed's order: labelled k-mers times an odd number."""
     labelled = mix(grams + (occurrences(grams) + np.uint64(1)) * _STEP)
     rows = []
     step = max(1, 2_000_000 // len(grams))  # rows of the hash matrix at a time, for very long texts
     for r in range(0, len(seeds), step):
-        ranks = mix(labelled[None, :] ^ seeds[r : r + step, None])
-        if len(grams) > TUPLE:
-            least = np.sort(np.argpartition(ranks, TUPLE - 1, axis=1)[:, :TUPLE], axis=1)
-        else:
-            least = np.tile(np.arange(len(grams)), (len(ranks), 1))
-        value = seeds[r : r + step].copy()
-        for j in range(least.shape[1]):
-            value = mix(value * _STEP + grams[least[:, j]])
-        rows.append(value)
+        some = seeds[r : r + step]
+        ranks, at = labelled[None, :] * some[:, None], np.arange(len(some))
+        least = ranks.argmin(axis=1)
+        value = some
+        if len(grams) > 1:
+            ranks[at, least] = np.iinfo(np.uint64).max
+            second = ranks.argmin(axis=1)
+            value = mix(value * _STEP + grams[np.minimum(least, second)])
+            least = np.maximum(least, second)
+        rows.append(mix(value * _STEP + grams[least]))
     return np.concatenate(rows)
 
 
@@ -129,9 +132,9 @@ def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, lim
     return out
 
 
-def bag(tokens: np.ndarray) -> bytes:
-    """Word counts in BINS bins as 16-bit numbers; greater ones are cut, which keeps the bound below a bound."""
-    return np.minimum(np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+def bag(words: np.ndarray) -> bytes:
+    """Counts of 32-bit word hashes in BINS bins as bytes; greater ones are cut, which keeps the bound below a bound."""
+    return np.minimum(np.bincount(np.asarray(words, np.int64) & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _spread(words: np.ndarray) -> np.ndarray:
@@ -141,8 +144,8 @@ def _spread(words: np.ndarray) -> np.ndarray:
 
 def _least_edits(differences: np.ndarray) -> np.ndarray:
     """A lower bound of the edit distance from differences of counts in bins: an edit takes away one word, adds one or both."""
-    more = np.maximum(differences, 0).sum(axis=1)
-    return np.maximum(more, more - differences.sum(axis=1))
+    more = np.maximum(differences, 0).sum(axis=1, dtype=np.int64)
+    return np.maximum(more, more - differences.sum(axis=1, dtype=np.int64))
 
 
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMILARITY) -> np.ndarray:
@@ -166,67 +169,56 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
     return found
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the whole text; null counts as empty), n_words, sigs, bag for each row."""
+def text_key(text: Column) -> list[Column]:
+    """h1, h2: 128 bits that stand for a whole text; null counts as empty."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2")]
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """node (a number of its own), h1, h2, rep (least doc_id), copies, n_words, sigs for each distinct text."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for batch in batches:
-            digests, counts, sigs, bags = [], [], [], []
-            for text in batch["text"]:
-                data = (text or "").encode("utf-8")
-                tokens = token_hashes(data)
-                digests.append(xxhash.xxh3_128_digest(data))
-                counts.append(len(tokens))
-                sigs.append(order_minhash(tokens).view(np.int64))
-                bags.append(bag(tokens))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "n_words": counts, "sigs": sigs, "bag": bags})
-
-    return docs.select("doc_id", "text").mapInPandas(sketch, f"doc_id {kind}, digest binary, n_words int, sigs array<long>, bag binary")
+            tokens = [token_hashes((text or "").encode("utf-8", "surrogatepass")) for text in batch["text"]]
+            made = {"n_words": [len(t) for t in tokens], "sigs": [order_minhash(t).view(np.int64) for t in tokens]}
+            yield pd.DataFrame({c: batch[c] for c in ("doc_id", "h1", "h2")} | made)
 
+    rows = docs.select("doc_id", *text_key(F.col("text")), "text").mapInPandas(sketch, f"doc_id {kind}, h1 long, h2 long, n_words int, sigs array<long>")
+    texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "sigs")])
+    return materialise(texts.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
 
-def _stars(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's members with its least one; and the least ones."""
-    seen = rows.withColumn("to", F.min(F.struct("rep", "n_words")).over(Window.partitionBy(*keys)))
-    return _near(seen.filter(F.col("to.rep") != F.col("rep"))), seen.filter(F.col("to.rep") == F.col("rep")).drop("to")
 
+def shared_entries(texts: DataFrame) -> DataFrame:
+    """(sig, node, leader) for each bucket of two or more texts and each of its members; the leader is its least node."""
+    entries = texts.select("node", F.explode("sigs").alias("sig"))
+    shared = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").select("sig", "leader")
+    return materialise(entries.join(shared.hint("merge"), "sig"), "entries")
 
-def _across(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's members with its least one and with their neighbours, where classes differ; and the least ones."""
-    w, me = Window.partitionBy(*keys), F.struct("rep", "n_words", "class")
-    seen = rows.withColumns({"first": F.min(me).over(w), "last": F.lag(me).over(w.orderBy("other", "n_words", "rep"))})
-    linked = seen.select("rep", "n_words", "class", F.explode(F.array_compact(F.array("first", "last"))).alias("to"))
-    return _near(linked.filter(F.col("to.class") != F.col("class"))), seen.filter(F.col("first.rep") == F.col("rep")).drop("first", "last")
 
+def leader_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): each text b with the leader a that it shares most buckets with."""
+    met = entries.filter("node <> leader").repartition("node").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    return met.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", F.col("node").alias("b"))
 
-def _near(linked: DataFrame) -> DataFrame:
-    near = F.least("to.n_words", "n_words") >= SIMILARITY * F.greatest("to.n_words", "n_words")
-    return linked.filter(near).select(F.least("rep", "to.rep").alias("a"), F.greatest("rep", "to.rep").alias("b"))
 
-
-def candidate_pairs(nodes: DataFrame, pick: Callable[[DataFrame, list[str]], tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Distinct (a, b), a < b, that ``pick`` finds in the buckets: inside salted parts of large ones, then over the parts."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = [c for c in nodes.columns if c != "sigs"]
-    entries = nodes.select(*kept, F.posexplode("sigs").alias("i", "sig"), "sigs").select(*kept, "sig", F.element_at("sigs", (F.col("i") + 1) % F.size("sigs") + 1).alias("other"))
-    hot = materialise(entries.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET).select("sig"), "hot-buckets")
-    if hot.isEmpty():
-        return pick(entries, ["sig"])[0].distinct()
-    marked = entries.join(hot.withColumn("hot", F.lit(True)), "sig", "left")
-    salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int")).otherwise(0))
-    inner, leaders = pick(salted, ["sig", "salt"])
-    outer, _ = pick(leaders.join(hot, "sig", "left_semi"), ["sig"])
-    return inner.unionByName(outer).distinct()
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, class) of each b of (a, b), where each b has one a < b: the end of its chain, by halving chains."""
+    found = parents.select(F.col("b").alias("node"), F.col("a").alias("class"))
+    while True:
+        up = found.select(F.col("node").alias("class"), F.col("class").alias("above"))
+        found = materialise(found.select("node", "class").join(up, "class", "left").select("node", F.coalesce("above", "class").alias("class"), F.col("above").isNotNull().alias("moved")), "roots")
+        if found.filter("moved").isEmpty():
+            return found.select("node", "class")
 
 
-def open_entries(nodes: DataFrame) -> DataFrame:
-    """rep, n_words, bag, class, sig, n for members of buckets (n texts each) that hold more than one class."""
-    entries = nodes.select("rep", "n_words", "bag", "class", F.explode("sigs").alias("sig"))
-    some = entries.groupBy("sig").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig", "n")
-    return materialise(entries.join(some, "sig"), "open")
+def open_entries(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, node, class, n) for members of buckets (n texts each) that hold more than one class."""
+    classed = entries.select("sig", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    some = classed.groupBy("sig").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("sig", "n")
+    return materialise(classed.join(some, "sig"), "open")
 
 
 def central_pairs(entries: DataFrame) -> DataFrame:
@@ -234,48 +226,67 @@ def central_pairs(entries: DataFrame) -> DataFrame:
 
     A text that many others were made from shares most buckets with most of them, so asking it first joins them all.
     """
-    ties = entries.groupBy("rep").agg(F.sum("n").alias("ties"))
-    leaders = entries.join(ties, "rep").groupBy("sig").agg(F.max(F.struct("ties", "rep", "n_words", "class")).alias("to"))
-    return _near(entries.join(leaders, "sig").filter(F.col("to.class") != F.col("class"))).distinct()
+    tied = entries.withColumn("ties", F.sum("n").over(Window.partitionBy("node")))  # a node has at most ROWS + SHORT_ROWS rows
+    leaders = tied.groupBy("sig").agg(F.max(F.struct("ties", "node", "class")).alias("to"))
+    across = entries.join(leaders, "sig").filter(F.col("to.class") != F.col("class"))
+    return across.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
 
 
-def remaining_pairs(entries: DataFrame) -> DataFrame:
-    """All distinct (a, b) of open buckets whose classes differ and whose word counts allow few enough edits.
+def remaining_pairs(entries: DataFrame, bags: DataFrame) -> DataFrame:
+    """All (a, b) of open buckets whose classes differ and whose word counts allow few enough edits, each pair once.
 
-    A bucket's texts are dealt to blocks of about BLOCK, classes of more than BLOCK texts to blocks of their own, and
-    each two blocks meet once, except two blocks of one class.
+    Texts of different classes share only open buckets, so a pair is left to the first one that it shares. A bucket of up to BLOCK texts is one meeting. A larger one is dealt to ranges of length, so that alike texts are in
+    one range or in neighbours, and inside these to blocks of about BLOCK; classes of more than BLOCK texts have blocks
+    of their own. Each two blocks that can hold alike texts meet once, except two blocks of one class.
     """
-    kind = dict(entries.dtypes)["rep"]
-    sizes = entries.groupBy("sig", "class").agg(F.count("*").alias("of_class"))
-    small = entries.join(sizes, ["sig", "class"]).withColumn("own", F.when(F.col("of_class") > BLOCK, F.col("class").cast("string")))
-    parts = F.ceil(F.when(F.col("own").isNotNull(), F.col("of_class")).otherwise(F.col("n")) / BLOCK)
-    dealt = materialise(small.withColumn("block", F.concat_ws("/", F.coalesce("own", F.lit("")), F.pmod(F.xxhash64("rep"), parts).cast("string"))).drop("of_class", "n"), "blocks")
-    blocks = materialise(dealt.select("sig", "block", "own").distinct(), "block-names")
-    left, right = (blocks.select("sig", F.col("block").alias(x), F.col("own").alias(f"{x}_own")) for x in ("i", "j"))
-    meetings = left.join(right, "sig").filter((F.col("i") <= F.col("j")) & (F.col("i_own").isNull() | F.col("j_own").isNull() | (F.col("i_own") != F.col("j_own"))))
-    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(1).alias("side")), F.struct(F.col("j").alias("block"), F.lit(2).alias("side"))))
-    seats = meetings.select("sig", F.xxhash64("sig", "i", "j").alias("meeting"), F.inline(sides))
-    seated = dealt.join(seats, ["sig", "block"]).select("meeting", "side", "rep", "n_words", "bag", "class")
+    small = entries.filter(F.col("n") <= BLOCK).select("sig", F.col("sig").alias("meeting"), F.lit(0).alias("side"), "node", "class")
+    large = entries.filter(F.col("n") > BLOCK)
+    seated = small if large.isEmpty() else small.unionByName(_seated(large, bags))
+    fat = seated.join(bags, "node").select("sig", "meeting", "side", "node", "class", "n_words", "bag", "sigs")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # the last meeting may go on in the next batch
         for batch in batches:
-            batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
-            whole = batch["meeting"] != batch["meeting"].iloc[-1]  # the last meeting may go on in the next batch
-            held = batch[~whole]
-            if whole.any():
-                yield _allowed(batch[whole])
-        if held is not None:
-            yield _allowed(held)
-
-    return seated.repartition("meeting").sortWithinPartitions("meeting").mapInPandas(meet, f"a {kind}, b {kind}").distinct()
+            last = batch["meeting"].iloc[-1]
+            done = batch["meeting"] != last
+            if held and held[0]["meeting"].iloc[0] != last:
+                yield _allowed(pd.concat([*held, batch[done]], ignore_index=True))
+                held = []
+            elif done.any():
+                yield _allowed(batch[done])
+            held.append(batch[~done])
+        if held:
+            yield _allowed(pd.concat(held, ignore_index=True))
+
+    return fat.repartition("meeting").sortWithinPartitions("meeting").mapInPandas(meet, "a long, b long")
+
+
+def _seated(large: DataFrame, bags: DataFrame) -> DataFrame:
+    """(sig, meeting, side, node, class): the members of large buckets at each meeting of their blocks."""
+    span = F.floor(F.log("n_words") / F.log(F.lit(1 / SIMILARITY))).cast("int")
+    of_class = large.groupBy("sig", "class").agg(F.when(F.count("*") > BLOCK, F.col("class")).otherwise(-1).alias("own"))
+    known = materialise(large.join(of_class, ["sig", "class"]).join(bags.select("node", span.alias("span")), "node"), "spans")
+    block = ["span", "own", "part"]
+    parts = known.groupBy("sig", "span", "own").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = materialise(known.join(parts, ["sig", "span", "own"]).select("sig", "node", "class", F.struct("span", "own", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("block")), "blocks")
+    names = materialise(dealt.select("sig", "block").distinct(), "block-names")
+    met = names.withColumnRenamed("block", "i").join(names.withColumnRenamed("block", "j"), "sig")
+    near = ((F.col("i.span") == F.col("j.span")) & (F.col("i") <= F.col("j"))) | (F.col("i.span") + 1 == F.col("j.span"))
+    met = met.filter(near & ((F.col("i.own") < 0) | (F.col("i.own") != F.col("j.own"))))
+    seat = lambda x, side: F.struct(F.col(x).alias("block"), F.lit(side).alias("side"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(seat("i", 0))).otherwise(F.array(seat("i", 1), seat("j", 2)))
+    seats = met.select("sig", F.xxhash64("sig", "i", "j").alias("meeting"), F.inline(sides))
+    return dealt.join(seats, ["sig", "block"]).select("sig", "meeting", "side", "node", "class")
 
 
 def _allowed(rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b) within the meetings of ``rows`` (sorted by them): of other sides and classes, with few enough edits by counts."""
-    meeting, side, n_words, rep = (rows[c].to_numpy() for c in ("meeting", "side", "n_words", "rep"))
-    bags = np.frombuffer(b"".join(rows["bag"]), "<u2").reshape(-1, BINS).astype(np.int32)
-    classes = pd.factorize(rows["class"])[0]
+    meeting, side, n_words, node, classes, sig = (rows[c].to_numpy() for c in ("meeting", "side", "n_words", "node", "class", "sig"))
+    bags = np.frombuffer(b"".join(rows["bag"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+    coarse = bags.reshape(len(bags), -1, 16).sum(axis=2, dtype=np.int16)
+    sigs = np.zeros((len(rows), ROWS + SHORT_ROWS), np.int64)
+    for i, own in enumerate(rows["sigs"]):
+        sigs[i, : len(own)] = own
     found: list[tuple[np.ndarray, np.ndarray]] = []
     step = 1
     while len(x := np.flatnonzero(meeting[:-step] == meeting[step:])):
@@ -283,12 +294,15 @@ def _allowed(rows: pd.DataFrame) -> pd.DataFrame:
         longer = np.maximum(n_words[x], n_words[y])
         ask = (classes[x] != classes[y]) & ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(n_words[x], n_words[y]) >= SIMILARITY * longer)
         x, y, limits = x[ask], y[ask], np.floor((1 - SIMILARITY) * longer[ask] + 1e-9)
-        ask = _least_edits(bags[x] - bags[y]) <= limits
-        found.append((x[ask], y[ask]))
+        for counts in (coarse, bags):  # the sums of bins bound the distance too, and rule most pairs out
+            ask = _least_edits(counts[x] - counts[y]) <= limits
+            x, y, limits = x[ask], y[ask], limits[ask]
+        first = sigs[x, (sigs[x] == sigs[y]).argmax(axis=1)] == sig[x]
+        found.append((x[first], y[first]))
         step += 1
     x, y = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-    a, b = rep[x], rep[y]
-    return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}).drop_duplicates()
+    a, b = node[x], node[y]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -310,80 +324,145 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = found.select("id", "label")
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, toks) of the wanted documents: 32-bit hashes of their words."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            toks = [(token_hashes((t or "").encode("utf-8")) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["doc_id"], "toks": toks})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return wanted.mapInPandas(hashed, f"id {kind}, toks array<int>").groupBy("id").agg(F.max("toks").alias("toks"))
+def of_fit_length(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose numbers of words allow few enough edits."""
+    of = lambda end: texts.select(F.col("node").alias(end), F.col("n_words").alias(f"n{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = materialise(_texts(docs, ids), "texts")
-    kind = dict(pairs.dtypes)["a"]
-    joined = pairs.join(texts.withColumnsRenamed({"id": "a", "toks": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "toks": "tb"}), "b")
+def of_fit_words(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose word counts allow few enough edits."""
+    of = lambda end: bags.select(F.col("node").alias(end), F.col("n_words").alias(f"n{end}"), F.col("bag").alias(f"w{end}"))
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").filter(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = similar(list(zip(batch["ta"], batch["tb"], strict=True)))
-            yield batch.loc[keep, ["a", "b"]]
+            wa, wb = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("wa", "wb"))
+            limits = np.floor((1 - SIMILARITY) * np.maximum(batch["na"], batch["nb"]).to_numpy() + 1e-9)
+            yield batch.loc[_least_edits(wa - wb) <= limits, ["a", "b"]]
+
+    return joined.select("a", "b", "na", "nb", "wa", "wb").mapInPandas(check, "a long, b long")
+
+
+class Aligner:
+    """Verifies pairs of nodes; the hashed words of a text are read once and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, texts: DataFrame):
+        self.docs = docs.select("doc_id", *text_key(F.col("text")), "text")
+        self.texts = texts
+        self.tokens: DataFrame | None = None
+
+    def _fetch(self, ids: DataFrame) -> None:
+        wanted = self.texts.select("node", F.col("rep").alias("doc_id"), "h1", "h2", "copies").join(ids, "node")
+        wanted = materialise(wanted if self.tokens is None else wanted.join(self.tokens.select("node"), "node", "left_anti"), "wanted")
+        n = wanted.count()
+        if self.tokens is not None and not n:
+            return
+        few = n <= BROADCAST_IDS
+        w, d = wanted.alias("w"), self.docs.alias("d")
+        same = (F.col("d.h1") == F.col("w.h1")) & (F.col("d.h2") == F.col("w.h2")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+        rows = d.join(F.broadcast(w) if few else w, same).select("node", "copies", "text")
 
-    return joined.select("a", "b", "ta", "tb").mapInPandas(check, f"a {kind}, b {kind}")
+        def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                toks = [(token_hashes((t or "").encode("utf-8", "surrogatepass")) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch["text"]]
+                yield pd.DataFrame({"node": batch["node"], "copies": batch["copies"], "toks": toks})
+
+        found = materialise(rows.mapInPandas(hashed, "node long, copies long, toks array<int>"), "tokens")
+        once = found.filter("copies = 1").select("node", "toks")  # only a repeated text can have come twice
+        found = once.unionByName(found.filter("copies > 1").groupBy("node").agg(F.first("toks").alias("toks")))
+        self.tokens = found if self.tokens is None else self.tokens.unionByName(found)
+
+    def bags(self, nodes: DataFrame) -> DataFrame:
+        """(node, n_words, bag, sigs) for the nodes."""
+        ids = materialise(nodes.select("node").distinct(), "ids")
+        self._fetch(ids)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"node": batch["node"], "n_words": [len(t) for t in batch["toks"]], "bag": [bag(t) for t in batch["toks"]]})
+
+        counted = self.tokens.join(ids, "node", "left_semi").mapInPandas(count, "node long, n_words int, bag binary")
+        return materialise(counted.join(self.texts.select("node", "sigs"), "node"), "bags")
+
+    def verified(self, pairs: DataFrame, fetched: bool = False) -> DataFrame:
+        """The pairs (a, b) whose texts align; ``fetched``: all of them were read before, for their bags."""
+        if not fetched:
+            self._fetch(materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids"))
+        of = lambda end: self.tokens.select(F.col("node").alias(end), F.col("toks").alias(f"t{end}"))
+
+        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keep = similar(list(zip(batch["ta"], batch["tb"], strict=True)))
+                yield batch.loc[keep, ["a", "b"]]
+
+        joined = pairs.join(of("a"), "a").join(of("b"), "b")
+        return materialise(joined.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long"), "verified")
 
 
 def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` (id, component) after the links (a, b) have joined some of them; ids without a row are on their own."""
-    of = lambda end: classes.select(F.col("id").alias(end), F.col("component").alias(f"{end}_class"))
+    """``classes`` (node, class) after the links (a, b) have joined some of them; nodes without a row are on their own."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class"))
     across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).filter("a <> b")
-    merged = connected(across).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    ends = classes.join(merged, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
-    alone = merged.join(classes, merged["component"] == classes["id"], "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component"))
+    merged = connected(across).select(F.col("id").alias("class"), F.col("component").alias("merged"))
+    ends = classes.join(merged, "class", "left").select("node", F.coalesce("merged", "class").alias("class"))
+    alone = merged.join(classes.select(F.col("node").alias("known")), F.col("class") == F.col("known"), "left_anti").select(F.col("class").alias("node"), F.col("merged").alias("class"))
     return materialise(ends.unionByName(alone), "classes")
 
 
+def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts, and (node, class) of those that are linked to others; the rest are classes of their own."""
+    texts = distinct_texts(docs)
+    entries = shared_entries(texts)
+    aligner = Aligner(docs, texts)
+    asked = materialise(of_fit_length(leader_pairs(entries), texts), "pairs")
+    classes = roots(aligner.verified(asked))
+    # then every bucket again, but only across classes, so what is linked stays unasked; the last time no pair is left out
+    bags = None
+    for pairs_of in (lambda e: of_fit_words(central_pairs(e), bags), lambda e: remaining_pairs(e, bags)):
+        entries = open_entries(entries, classes)
+        bags = aligner.bags(entries) if bags is None else bags
+        pairs = materialise(pairs_of(entries).join(asked, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            classes = joined(classes, aligner.verified(pairs, fetched=True))
+            asked = asked.unionByName(pairs)
+    return texts, classes
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the class's least doc_id), copies (rows with equal text).
 
-    Null texts count as empty; all texts without words are alike only if equal. A row without doc_id joins the class
-    of an equal text that has one, else its class_id is null. Rows that share a doc_id are one document for links.
-    Other columns are ignored and an empty table gives no rows.
+    Null texts count as empty; all texts without words are alike only if equal. Rows without doc_id take part by their
+    text; class_id is null only where no row of the class has a doc_id. Different texts under one doc_id are looked at
+    apart. Other columns are ignored and an empty table gives no rows.
     """
-    rows = materialise(signatures(docs), "signatures")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sigs").alias("sigs"), F.first("bag").alias("bag"), F.count("*").alias("copies"))
-    texts = materialise(texts, "distinct-texts")
-    nodes = texts.filter("rep is not null and n_words > 0").select("rep", "n_words", "sigs", "bag")
-    # first each text with the least one that it shares a bucket with: one question links most of a group
-    stars = candidate_pairs(nodes.drop("bag"), _stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    asked = materialise(stars, "pairs")
-    classes = connected(materialise(verified(docs, asked), "verified"))
-    # then every bucket again, but only across classes, so what is linked stays unasked; the last time no pair is left out
-    classed = lambda: nodes.join(classes, F.col("rep") == F.col("id"), "left").select("rep", "n_words", "sigs", "bag", F.coalesce("component", "rep").alias("class"))
-    for pairs_of in (lambda: candidate_pairs(classed().drop("bag"), _across), lambda: central_pairs(open_entries(classed())), lambda: remaining_pairs(open_entries(classed()))):
-        pairs = materialise(pairs_of().join(asked, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            classes = joined(classes, materialise(verified(docs, pairs), "verified"))
-            asked = asked.unionByName(pairs)
-    of_text = texts.select("digest", "rep", "copies").join(classes, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("class_id"), "copies")
-    return rows.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "copies")
+    texts, classes = text_classes(docs)
+    least = classes.join(texts.select("node", "rep"), "node").select(F.col("class"), "rep").unionByName(classes.select("class").distinct().join(texts.select(F.col("node").alias("class"), "rep"), "class")).groupBy("class").agg(F.min("rep").alias("class_id"))
+    member = classes.select("node", "class").unionByName(classes.select(F.col("class").alias("node"), "class")).distinct()
+    named = texts.join(member.join(least, "class").select("node", "class_id", F.lit(True).alias("linked")), "node", "left")
+    of_text = named.select("h1", "h2", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("rep")).alias("class_id"), "copies")
+    return docs.select("doc_id", *text_key(F.col("text"))).join(of_text.hint("merge"), ["h1", "h2"]).select("doc_id", "class_id", "copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their class: of each class the one with the least doc_id, whole rows.
+    """One whole row of each class: the one with the least doc_id, of different texts under that id the one with the least hash.
 
-    Of rows that repeat a doc_id, those with equal text stay as one; rows whose class is unknown (no doc_id) stay.
+    Equal texts are one class, so of rows that repeat one stays, with or without doc_id; nulls come after any doc_id.
     """
-    found = near_duplicates(docs).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_times"))
-    found = materialise(found, "kept")
-    kept = docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col("doc_id") == F.col("_keep"))
-    once = kept.filter("_times = 1").select(*[docs[c] for c in docs.columns])
-    if not found.filter("_times > 1").isEmpty():
-        once = once.unionByName(kept.filter("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.filter("doc_id is null"))
+    texts, classes = text_classes(docs)
+    classed = texts.join(classes, "node", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "h1", "h2")).alias("f")
+    kept = classed.groupBy(F.coalesce("class", "node")).agg(first).select("f.doc_id", "f.h1", "f.h2")
+    own = docs.select("*", F.struct("doc_id", *text_key(F.col("text"))).alias(mark := free_name("key", docs)))
+    key = [F.col(f"{mark}.{c}").alias(c) for c in ("doc_id", "h1", "h2")]
+    repeats = own.select(*key).groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("times")).filter("times > 1")
+    same = lambda x, y: x["h1"].eqNullSafe(y["h1"]) & x["h2"].eqNullSafe(y["h2"]) & x["doc_id"].eqNullSafe(y["doc_id"])
+    kept = materialise(kept.alias("k").join(repeats.alias("r"), same(*({c: F.col(f"{t}.{c}") for c in ("doc_id", "h1", "h2")} for t in "kr")), "left").select("k.*", F.col("times").isNotNull().alias("again")), "kept")
+    few = kept.count() <= BROADCAST_IDS
+    pick = lambda rows: own.join(F.broadcast(rows) if few else rows, same({c: F.col(f"{mark}.{c}") for c in ("doc_id", "h1", "h2")}, rows), "left_semi")
+    once = pick(kept.filter("not again"))
+    again = kept.filter("again")
+    if not again.isEmpty():
+        once = once.unionByName(pick(again).dropDuplicates([mark]))
+    return once.drop(mark)

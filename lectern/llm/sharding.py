@@ -7,9 +7,13 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import free_name
+
 #: Slots of the table, a prime; a table of 4-byte entries stays at 256 KB whatever the data's size.
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+#: Bytes that a writer of shards gets, as Spark expects them, and writers of one shard at most.
+FILE_BYTES, MOST_FILES = 1 << 30, 10_000
 
 
 def _number(name: str, salt: str) -> int:
@@ -54,7 +58,16 @@ def place(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     return placed.join(F.broadcast(table), "slot", "left").select(*[c for c in rows.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
-def write_shards(rows: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, files: int = 1) -> None:
-    """Write ``rows`` as Parquet, one folder for each shard; ``files`` > 1 splits every shard over so many writers."""
-    salted = place(rows, key, shards).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(files)))
-    salted.repartition(len(shards) * files, "shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, files: int | None = None) -> None:
+    """Write ``rows`` as Parquet, one folder for each shard, each split over ``files`` writers.
+
+    Without ``files`` their number follows from the size that Spark expects of ``rows``, so that a writer gets about
+    FILE_BYTES. Rows are dealt to writers by a hash of all their columns, so rows of one key may share a shard and not a
+    task. An empty table writes no shard.
+    """
+    if files is None:
+        expected = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = max(1, min(MOST_FILES, -(-expected // (FILE_BYTES * len(shards)))))
+    placed, part = place(rows, key, shards), free_name("part", rows)
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if k.startswith(("map", "variant")) else F.col(f"`{c}`") for c, k in placed.dtypes])
+    placed.withColumn(part, F.pmod(whole, F.lit(files))).repartition(len(shards) * files, "shard", part).drop(part).write.partitionBy("shard").parquet(path)

@@ -76,8 +76,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray) -> Machin
     machine = Machine(float(np.log((toxic + 0.5) / (n - toxic + 0.5))), np.empty(0, np.int64), np.empty(0), np.empty((0, RANK)))
     if not len(terms) or toxic in (0.0, float(n)):
         return machine
-    at = np.concatenate(rows).astype(np.int64)
-    start = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    at, start = np.concatenate(rows, dtype=np.int32), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     rng = np.random.default_rng(7)
     machine.terms, machine.weights, machine.vectors = terms, np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), RANK))
     gw, gv, gb = np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6), 1e-6
@@ -143,8 +142,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "found": [find(terms, t)[1].astype(np.int32) for t in batch["terms"]]})
 
-    rows = sample.mapInPandas(told, f"doc_id {kind}, toxic int, found array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(f, np.int64) for f in rows["found"]], rows["toxic"].to_numpy(float), terms)
+    rows = sample.mapInPandas(told, f"doc_id {kind}, toxic int, found array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists = rows["found"].combine_chunks()  # as Arrow: lists of Python numbers would take ten times the memory
+    cuts = np.cumsum(lists.value_lengths().to_numpy())[:-1]
+    return fit(np.split(lists.flatten().to_numpy(), cuts) if len(rows) else [], rows["toxic"].to_numpy().astype(float), terms)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -37,6 +38,17 @@ def test_quality_counts(spark, sf_dir, awkward):
             assert not (r.base_failed and r.kept)
 
 
+def test_repeats_are_exact_in_long_texts(spark):
+    """So many windows that the bits left of their hashes agree by chance; words decide."""
+    rng = random.Random(3)
+    rows = [(0, " ".join(str(rng.randrange(10**9)) for _ in range(200_000))), (1, " ".join(str(rng.randrange(60)) for _ in range(60_000))), (2, "a b c a b c a b c d"), (3, "x x x x"), (4, "a b a b")]
+    got = {r.doc_id: r.n for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", quality.base_features(F.col("text"))["n_repeat_words"].alias("n")).collect()}
+    for i, text in rows:
+        w = text.split()
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        assert got[i] == len({i + k for i, t in enumerate(zip(w, w[1:], w[2:], strict=False)) if seen[t] > 1 for k in range(3)})
+
+
 def test_quality_threshold_follows_the_group(spark):
     """The same text is fine where symbols are usual and out of range where they are not."""
     plain = [(i, " ".join(f"w{i}x{j}" for j in range(100)), "en", "plain", 0) for i in range(80)]
@@ -101,6 +113,19 @@ def test_added_spans_need_checksum_or_context(spark):
     assert kinds == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: ["local_phone"], 5: [], 6: ["iban"]}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["BE68 5390 0754 7034", "to BE68 5390 0754 7034 2024 rest", "LT12 1000 0111 0100 1000 EUR", "BE68539007547034 BIC GEBABEBB", "SE4550000000058398257466 SWIFT", "NO93 8601 1117 947", "BE69 5390 0754 7034", "XX68 5390 0754 7034", "MT84 MALT 0110 0001 2345 MTLC AST0 01S x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", pii.find_spans(F.col("text")).alias("s")).collect()
+    found = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.s if x.kind == "iban"] for r in rows}
+    assert found == {0: [texts[0]], 1: [texts[0]], 2: ["LT12 1000 0111 0100 1000"], 3: ["BE68539007547034"], 4: ["SE4550000000058398257466"], 5: [texts[5]], 6: [], 7: [], 8: [texts[8][:-2]]}
+
+
+def test_context_words_of_four_languages(spark):
+    texts = ["téléphone 212-555-0123", "llamar al 212-555-0123", "Anruf 212-555-0123", "mobile 212-555-0123", "pièce 212-555-0123"]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [bool(got[i]) for i in range(5)] == [True, True, True, True, False]
+
+
 def test_redaction_takes_every_span_and_nothing_else(spark, awkward):
     text = "write a.b@c.de or +1 (017) 555-7713 from 10.0.0.1 today"
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "clean", 0)], "doc_id long, text string, n_chars long")

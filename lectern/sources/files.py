@@ -112,10 +112,15 @@ def write_quoted_csv(rows: DataFrame, path: str) -> None:
     rows.select(cells.alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
-def positioned_lines(files: DataFrame) -> DataFrame:
-    """Lines of PDF files with their boxes; needs a parser that is not part of this box."""
-    try:
-        import pdfminer  # noqa: F401
-    except ImportError as missing:
-        raise NotImplementedError("reading PDF needs pdfminer; give positioned lines as a table instead") from missing
-    raise NotImplementedError("connect a PDF parser here: rows of doc_id, page, line_no, text, x0, x1, top, bottom, size")
+def documents(files: DataFrame) -> DataFrame:
+    """(name, format, text, chapters, error) of uploads of every format: chapters (place, title, text) from EPUB files, else null."""
+    from lectern.sources import pdf
+
+    plain = text_documents(files).select("name", F.lit("txt").alias("format"), "text", "error")
+    printed = pdf.text_documents(files.filter("format = 'pdf'")).select("name", F.lit("pdf").alias("format"), "text", "error")
+    parts = epub_chapters(files).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("place", "title", "text"))).alias("chapters"))
+    books = files.filter("format = 'epub'").select("name").join(parts, "name", "left")
+    whole = T.normalize_uploaded(F.array_join(F.transform("chapters", lambda c: c["text"]), "\n\n"), "epub")
+    books = books.select("name", F.lit("epub").alias("format"), whole.alias("text"), F.when(F.col("chapters").isNull(), "epub_unreadable").alias("error"), "chapters")
+    refused = files.filter("error is not null").select("name", "format", F.lit(None).cast("string").alias("text"), "error")
+    return plain.unionByName(printed).unionByName(refused).unionByName(books, allowMissingColumns=True)

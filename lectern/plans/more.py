@@ -226,3 +226,33 @@ def str_23_section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = [F.lit("Abstract"), F.lit("7. References"), F.lit("B. Appendix"), F.lit("3.1 Acknowledgments to all"), F.concat(F.lit("IV. "), text), F.lit("WORKS CITED:"), F.lit("Referencesx"), text, text, text, text]
     rows = adapt(spark, sf_dir, "sessions").select("session_id", "chapter_id", "session_index", F.element_at(F.array(*forms), (F.col("session_id") % 11 + 1).cast("int")).alias("title"))
     return layout.kinds_in_order(rows, F.col("title"), ["chapter_id"], "session_index").select("session_id", "kind")
+
+
+def _printed(text: Column) -> Column:
+    """A PDF file of a text's lines, sixty to a page, each at its own place, in Latin-1."""
+    ls = F.transform(T.lines(text), lambda x: F.regexp_replace(x, r"([\\()])", r"\\$1"))
+
+    def file(ls: Column) -> Column:
+        n = F.greatest(F.ceil(F.size(ls) / 60), F.lit(1)).cast("int")
+        pages = F.sequence(F.lit(0), n - 1)
+        line = lambda x, i: F.concat(F.lit("BT /F1 10 Tf 1 0 0 1 54 "), (780 - 12 * i).cast("string"), F.lit(" Tm ("), x, F.lit(") Tj ET"))
+        body = lambda p: F.array_join(F.transform(F.slice(ls, p * 60 + 1, 60), line), "\n")
+        made = F.transform(pages, lambda p: F.concat((10 + 2 * p).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Contents "), (11 + 2 * p).cast("string"), F.lit(" 0 R >>\nendobj\n"), (11 + 2 * p).cast("string"), F.lit(" 0 obj\n<< >>\nstream\n"), body(p), F.lit("\nendstream\nendobj\n")))
+        kids = F.array_join(F.transform(pages, lambda p: F.concat((10 + 2 * p).cast("string"), F.lit(" 0 R"))), " ")
+        head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n3 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>\nendobj\n2 0 obj\n<< /Type /Pages /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Kids ["
+        return F.concat(F.lit(head), kids, F.lit("] >>\nendobj\n"), F.array_join(made, ""), F.lit("trailer << /Root 1 0 R >>\n"))
+
+    return F.encode(F.element_at(F.transform(F.array(ls), file), 1), "ISO-8859-1")
+
+
+@query(
+    r"""select doc_id, cast(greatest(ceil(len(l) / 60.0), 1) as int) pages, len(l) n_lines, md5(array_to_string(l, chr(10))) lines_md5 from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') l from documents) where len(l) > 0"""
+)
+def src_04_07_pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts printed as PDF files and read back line by line."""
+    from lectern.sources import pdf
+
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), _printed(F.col("text")).alias("content"))
+    lines = F.array_sort(F.collect_list(F.struct("page", "line_no", "text")))
+    read = pdf.positioned_lines(made).groupBy("name").agg(F.max("page").alias("pages"), F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).alias("lines_md5"))
+    return read.select(F.col("name").cast("long").alias("doc_id"), "pages", "n_lines", "lines_md5")

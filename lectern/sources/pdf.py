@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators import layout
+from lectern.sources.workers import let_import
 
 #: Advance widths of Helvetica's printable ASCII characters, in thousandths of the size.
 HELVETICA = (
@@ -413,6 +414,7 @@ def _runs(glyphs: list[tuple]) -> Iterator[list[tuple]]:
 
 def _each(files: DataFrame, rows, schema: str) -> DataFrame:
     """Rows that ``rows(pdf)`` gives for every readable PDF among the files (name, content)."""
+    let_import(files.sparkSession)
     columns = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

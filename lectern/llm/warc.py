@@ -131,7 +131,7 @@ class _Archive:
         if not self.count:
             return None
         name = f"{self.task}-{self.number:05d}.warc.zst"
-        with self.store.open_output_stream(f"{self.folder}/{name}") as out:
+        with self.store.open_output_stream(f"{self.folder}/{name}", compression=None) as out:  # as it is, whatever the name says
             out.write(self.buffer.getbuffer())
         done = {"archive": name, "records": self.count, "bytes": self.buffer.tell()}
         self.number, self.count, self.buffer = self.number + 1, 0, io.BytesIO()
@@ -187,7 +187,7 @@ def read_archives(folder: str, spark: SparkSession, payloads: bool = False) -> D
 
         store, path = fs.FileSystem.from_uri(folder)
         for name in (n for batch in batches for n in batch["archive"]):
-            with store.open_input_stream(f"{path}/{name}") as file:
+            with store.open_input_stream(f"{path}/{name}", compression=None) as file:
                 content = file.read()
             rows: list[dict[str, object]] = []
             for record in read_archive(content):

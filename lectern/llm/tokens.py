@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import prepare
+from lectern.llm.common import materialise, prepare
 
 #: Vocabulary as ranks, one base64 token and its rank a line; the path must hold on every worker.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -43,9 +43,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
     docs_over and tokens_over are the suffix sums over longer documents; total_tokens, truncated_tokens (what is left
     if every document is cut at this length) and share_upto (the quantile of this length) follow. Sums run inside
-    groups of SPAN lengths and then over the groups' totals, so no task needs all lengths. An empty table gives no rows.
+    groups of SPAN lengths and then over the groups' totals, so no task needs all lengths. Texts are read once: the counts
+    are a table before anything is summed. An empty table gives no rows.
     """
-    hist = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")).withColumn("g", F.floor(F.col("length") / SPAN))
+    hist = materialise(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "lengths").withColumn("g", F.floor(F.col("length") / SPAN))
     groups = hist.groupBy("g").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     over = Window.orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

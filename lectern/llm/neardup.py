@@ -32,8 +32,8 @@ SIMILARITY = 0.8
 #: Texts under SHORT words, and those that may be alike to one, also get rows over SHORT_K-word k-mers: one edit spoils
 #: most five-word ones of a short text.
 SHORT, SHORT_K, SHORT_ROWS = 64, 2, 32
-#: Keys of texts up to this number (some 50 bytes each) are broadcast to pick texts; more go through a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Keys of texts up to this number (some 150 to 250 bytes each) are broadcast to pick texts; more go through a shuffle join.
+BROADCAST_IDS = 250_000
 #: Words are counted in so many bins by hash; the counts bound an edit distance from below.
 BINS = 512
 #: Texts of a bucket in a block; what is left of a bucket is asked in pairs of blocks.

@@ -54,24 +54,37 @@ def mulberry32(seed: int):
     return draw
 
 
-def shuffled(items: list, seed: int) -> list:
-    """A Fisher-Yates shuffle from a seed."""
-    draw, out = mulberry32(seed), list(items)
+def shuffled(items: list, seed) -> list:
+    """A Fisher-Yates shuffle from a seed, or from a generator that goes on."""
+    draw, out = seed if callable(seed) else mulberry32(seed), list(items)
     for i in range(len(out) - 1, 0, -1):
         j = int(draw() * (i + 1))
         out[i], out[j] = out[j], out[i]
     return out
 
 
+def next_game(games: list[str], bag: list[str], last: str | None, draw) -> tuple[str, list[str]]:
+    """The next game and what is left in the bag, from what a reader's state holds.
+
+    Games that are gone leave the bag; an empty one is filled and shuffled anew, and does not start with the last game.
+    """
+    left = [g for g in bag if g in games]
+    if not left:
+        left = shuffled(games, draw)
+        if len(games) > 1 and left[0] == last:
+            left = [*left[1:], left[0]]
+    return left[0], left[1:]
+
+
 def rotation(games: list[str], rounds: int, seed: int) -> list[str]:
     """Games from shuffled bags: none comes again before its bag is empty, nor twice in a row across bags."""
     out: list[str] = []
-    while len(out) < rounds:
-        bag = shuffled(games, seed + len(out))
-        if out and len(bag) > 1 and bag[0] == out[-1]:
-            bag = [*bag[1:], bag[0]]
-        out += bag
-    return out[:rounds]
+    bag: list[str] = []
+    draw = mulberry32(seed)
+    for _ in range(rounds):
+        game, bag = next_game(games, bag, out[-1] if out else None, draw)
+        out.append(game)
+    return out
 
 
 def one_letter_pairs(words: DataFrame) -> DataFrame:

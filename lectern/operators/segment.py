@@ -203,3 +203,36 @@ def classify(sections: DataFrame) -> DataFrame:
     )
     judged = rows.withColumn("_kind", kind).withColumn("_any", F.bool_or(F.col("_kind") == "story").over(doc))
     return judged.select(*sections.columns, F.when(F.col("_any"), F.col("_kind")).otherwise("story").alias("section_kind"))
+
+
+def book_content(books: DataFrame, least: int = 400, most: int = 600, every: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What is stored of books (doc_id, text): chapters, and the passages of story chapters.
+
+    Chapters: doc_id, chapter_index, title (500 characters), text, word_count, summary (of story chapters), section_kind.
+    Passages: doc_id, chapter_index, index, text, word_count, is_cliffhanger (only at a hook or the end), has_prompt (every
+    n-th inside a chapter). Front and back matter is kept and has no passages.
+    """
+    kinds = classify(chapters(books))
+    story = F.col("section_kind") == "story"
+    kept = kinds.select("doc_id", "chapter_index", F.substring(F.coalesce("title", F.lit("")), 1, 500).alias("title"), "text", T.word_count(F.col("text")).alias("word_count"), F.when(story, T.summary(F.col("text"))).otherwise("").alias("summary"), "section_kind")
+    ps = F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p: split_oversized(p, most)))
+    packed = _let(ps, lambda p: with_prompts(conservative(pack(p, least, most)), every, skip_edges=True))
+    passages = kept.filter(story).select("doc_id", "chapter_index", F.inline(packed))
+    return kept, passages.select("doc_id", "chapter_index", "index", "text", "word_count", "is_cliffhanger", "has_prompt")
+
+
+def reconverted(books: DataFrame, stored: dict[str, DataFrame], least_words: int = 50) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Books (doc_id, text) normalised and cut anew: (doc_id, status) and the tables that hold their rows afterwards.
+
+    ``stored`` has chapters and passages, and any other tables with doc_id (events, sessions, progress), whose rows of
+    these books go because they point at old passages. Books without text, or with under ``least_words`` words once
+    normalised, are skipped and keep their rows.
+    """
+    fresh = books.select("doc_id", T.normalize_uploaded(F.coalesce("text", F.lit(""))).alias("text"), (T.strip(F.coalesce("text", F.lit(""))) == "").alias("none"))
+    judged = fresh.withColumn("status", F.when(F.col("none"), "skipped_no_text").when(T.word_count(F.col("text")) < least_words, "skipped_too_short").otherwise("ready"))
+    ready = judged.filter("status = 'ready'").select("doc_id", "text")
+    new = dict(zip(("chapters", "passages"), book_content(ready), strict=True))
+    after = {name: rows.join(ready.select("doc_id"), "doc_id", "left_anti") for name, rows in stored.items()}
+    for name, rows in new.items():
+        after[name] = after[name].unionByName(rows, allowMissingColumns=True) if name in after else rows
+    return judged.select("doc_id", "status"), after

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +29,46 @@ def overlaps(spans: DataFrame) -> DataFrame:
     return a.join(b, same & meet).select(F.col("a.highlight_id").alias("a"), F.col("b.highlight_id").alias("b"))
 
 
+def accepted(spans: DataFrame) -> DataFrame:
+    """(highlight_id, accepted): spans taken in the order of their ids, each unless it overlaps one taken before.
+
+    The check that a lock guards where writers race, as a fold over each reader's spans on one passage; touching is fine.
+    """
+    items = F.array_sort(F.collect_list(F.struct("highlight_id", "start_at", "end_at")))
+    none = F.expr("cast(array() as array<struct<id:bigint,s:int,e:int,ok:boolean>>)")
+
+    def step(taken: Column, x: Column) -> Column:
+        ok = ~F.exists(taken, lambda t: t["ok"] & (t["s"] < x["end_at"]) & (x["start_at"] < t["e"]))
+        return F.concat(taken, F.array(F.struct(x["highlight_id"].cast("long").alias("id"), x["start_at"].cast("int").alias("s"), x["end_at"].cast("int").alias("e"), ok.alias("ok"))))
+
+    folded = spans.groupBy("user_id", "session_id").agg(F.aggregate(items, none, step).alias("t"))
+    return folded.select(F.explode("t").alias("t")).select(F.col("t.id").alias("highlight_id"), F.col("t.ok").alias("accepted"))
+
+
+def created_shelves(wanted: DataFrame, cap: int = dims.SHELF_CAP, existing: DataFrame | None = None) -> DataFrame:
+    """(user_id, n, status, position): shelves (user_id, n, name) asked for in the order of n.
+
+    One is full with ``cap`` shelves, taken if the reader has one of that name in any case, else created at the position
+    after the last. ``existing`` holds user_id, name_key and position. The fold's state is at most ``cap`` names.
+    """
+    asks = wanted.select("user_id", F.lit(1).alias("turn"), F.col("n").cast("long").alias("n"), F.lower("name").alias("key"), F.lit(None).cast("int").alias("position"))
+    if existing is not None:
+        asks = asks.unionByName(existing.select("user_id", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("n"), F.col("name_key").alias("key"), F.col("position").cast("int").alias("position")))
+    items = F.array_sort(F.collect_list(F.struct("turn", "n", "key", "position")))
+    zero = F.struct(F.expr("cast(array() as array<string>)").alias("keys"), F.lit(-1).alias("last"), F.expr("cast(array() as array<struct<n:bigint,status:string,position:int>>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        own, at = x["turn"] == 0, s["last"] + 1
+        status = F.when(F.size(s["keys"]) >= cap, "full").when(F.array_contains(s["keys"], x["key"]), "taken").otherwise("created")
+        made = own | (status == "created")
+        last = F.when(own, F.greatest(s["last"], x["position"])).when(made, at).otherwise(s["last"])
+        told = F.array(F.struct(x["n"].alias("n"), status.alias("status"), F.when(status == "created", at).alias("position")))
+        return F.struct(F.when(made, F.concat(s["keys"], F.array(x["key"]))).otherwise(s["keys"]).alias("keys"), last.cast("int").alias("last"), F.when(own, s["out"]).otherwise(F.concat(s["out"], told)).alias("out"))
+
+    folded = asks.groupBy("user_id").agg(F.aggregate(items, zero, step)["out"].alias("out"))
+    return folded.select("user_id", F.inline("out"))
+
+
 def quoted(spans: DataFrame) -> DataFrame:
     """Spans (start_at, end_at in code points of text) with quote, what stands around it, and an error code."""
     n = F.length("text")

@@ -84,6 +84,18 @@ def theme_map(tags: DataFrame, numbered: DataFrame) -> DataFrame:
     return placed.groupBy("book_id", "theme").agg(F.count("*").alias("count"), F.sort_array(F.collect_list(F.struct("pos", "session_id", "score"))).alias("cells"))
 
 
+def block_themes(tags: DataFrame, numbered: DataFrame, merges: DataFrame, size: int) -> DataFrame:
+    """(book_id, session_no, theme, score): the strongest score of each shown theme in the block that starts at a passage.
+
+    ``merges`` (book_id, session_no, merges) says how many passages a block merges at most. Each tag goes to the at most
+    ``size`` starts whose block holds its passage.
+    """
+    placed = shown(tags).join(numbered.select("session_id", F.col("session_no").alias("at")), "session_id")
+    starts = placed.select("book_id", "theme", "score", "at", F.explode(F.sequence(F.greatest(F.col("at") - size + 1, F.lit(1)), F.col("at"))).alias("session_no"))
+    inside = starts.join(merges, ["book_id", "session_no"]).filter(F.col("at") < F.col("session_no") + F.least("merges", F.lit(size)))
+    return inside.groupBy("book_id", "session_no", "theme").agg(F.max("score").alias("score"))
+
+
 def strongest_by_chapter(tags: DataFrame, numbered: DataFrame) -> DataFrame:
     """For each theme and chapter the strongest passage, the first of equals, and the count."""
     placed = shown(tags).join(numbered.select("session_id", (F.col("session_no") - 1).alias("pos")), "session_id")

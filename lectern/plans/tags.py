@@ -30,9 +30,16 @@ def agg_07_theme_map_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.theme_map(adapt(spark, sf_dir, "tags"), reader.numbered(adapt(spark, sf_dir, "sessions"))).withColumn("cells", F.to_json("cells"))
 
 
-@query("select book_id, (n - 1) // 3 block, theme, max(score) score from tags group by 1, 2, 3", "tags")
+@query(
+    """with o as (select *, row_number() over w as session_no, lead(chapter_index) over w c1, lead(chapter_index, 2) over w c2, lead(is_cliffhanger) over w k1 from sessions where section_kind = 'story' window w as (partition by book_id order by chapter_index, session_index)),
+    m as (select book_id, session_no, session_id, 1 + case when not is_cliffhanger and c1 = chapter_index then 1 + case when not k1 and c2 = chapter_index then 1 else 0 end else 0 end merges from o)
+    select m.book_id, m.session_no, t.theme, max(t.score) score from m join m x on x.book_id = m.book_id and x.session_no >= m.session_no and x.session_no < m.session_no + m.merges join tags t on t.session_id = x.session_id where t.score >= 3 group by 1, 2, 3""",
+    "sessions", "tags",
+)
 def agg_08_block_theme_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapt(spark, sf_dir, "tags").groupBy("book_id", F.floor((F.col("n") - 1) / 3).alias("block"), "theme").agg(F.max("score").alias("score"))
+    """Themes of the block of up to three passages that starts at each passage."""
+    sessions = adapt(spark, sf_dir, "sessions")
+    return tags.block_themes(adapt(spark, sf_dir, "tags"), reader.numbered(sessions), reader.block_ends(sessions), 3)
 
 
 @query("select book_id, theme, chapter_index, max(score) score, count(*) \"count\", max_by(n - 1, (score, -n)) pos, max_by(session_id, (score, -n)) session_id from tags where score >= 3 group by 1, 2, 3", "tags")

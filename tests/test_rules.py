@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import breaks, events, layout, quiz, reader, segment, tags
+from lectern.operators import breaks, events, layout, notes, quiz, reader, segment, tags
 from lectern.sources import files
 
 
@@ -146,3 +146,16 @@ def test_research_chunks(spark):
     paragraphs = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(100)) for i in range(8)) + "\n\n* * *\n\n" + " ".join(["one two."] * 400)
     got = one(spark, segment.chunk_section(F.lit(paragraphs)))[0]
     assert all(c.word_count <= 480 and not c.is_cliffhanger and not c.has_prompt for c in got) and all(c.word_count >= 180 for c in got[:-1]) and sum(c.word_count for c in got) == 800 + 3 + 800
+
+
+def test_spans_that_overlap_are_refused(spark):
+    rows = [(1, 7, 1, 0, 10), (2, 7, 1, 5, 12), (3, 7, 1, 10, 12), (4, 7, 1, 11, 20), (5, 7, 2, 0, 10), (6, 8, 1, 0, 10), (7, 7, 1, 12, 13)]
+    got = {r.highlight_id: r.accepted for r in notes.accepted(spark.createDataFrame(rows, "highlight_id long, user_id long, session_id long, start_at int, end_at int")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 7: True}
+
+
+def test_shelves_beside_those_there(spark):
+    have = spark.createDataFrame([(1, "novels", 4), (1, "poems", 2)], "user_id int, name_key string, position int")
+    wanted = spark.createDataFrame([(1, 1, "Novels"), (1, 2, "Plays"), (1, 3, "plays"), (1, 4, "Essays"), (2, 1, "Novels")], "user_id int, n int, name string")
+    got = {(r.user_id, r.n): (r.status, r.position) for r in notes.created_shelves(wanted, 3, have).collect()}
+    assert got == {(1, 1): ("taken", None), (1, 2): ("created", 5), (1, 3): ("full", None), (1, 4): ("full", None), (2, 1): ("created", 0)}

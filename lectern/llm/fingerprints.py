@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import let, materialise, words
+from lectern.llm.common import free_name, let, materialise, words
 
 K = 5
 BIN_BITS = 6
 #: Low bits of a packed value that hold the position; the rest identifies the k-mer.
 POSITION_BITS = 24
+#: Rows that one step of repeating makes at most.
+CHUNK = 65_536
 
 
 def _id(x: Column) -> Column:
@@ -130,32 +132,48 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and sig of each row, with next_head and next_sig of the row that follows by doc_id.
+    """doc_id, text and sig of each distinct row (doc_id and text), next_head and next_sig of the one that follows, times.
 
     next_head is as much of the next text as half of the own one has code points. Null texts are empty. Null ids come
-    first and count as the least long; rows with the same id follow each other by a hash of the text, equal rows one
-    after the other. Texts are shuffled once to meet their keys; only heads go on to the document before.
+    first and count as the least long; rows with the same id follow each other by a hash of the text. Equal rows follow
+    one after the other, so the last of them looks to the next text and the others (``times`` of them) to their own: a
+    row that repeats gives two rows here. Equal rows meet before the shuffle; texts are shuffled once to meet their
+    keys, and only heads go on to the document before.
     """
     order = materialise(successors(docs), "successors")
-    texts = _keys(docs, F.coalesce("text", F.lit("")).alias("text"))  # no lambdas here: both uses share one exchange
-    copy = F.row_number().over(Window.partitionBy("kid", "h").orderBy("kid"))
-    met = texts.join(order.hint("merge"), ["kid", "h"]).withColumn("copy", copy)
-    heads = met.filter("copy = 1").select(F.col("prev_kid").alias("kid"), F.col("prev_h").alias("h"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"))
-    joined = met.select("kid", "h", "text", "sig", "next_sig", "copy", "copies").join(heads.hint("merge"), ["kid", "h"])
-    own, half = F.col("copy") < F.col("copies"), F.floor(F.length("text") / 2).cast("int")
-    return joined.select(
+    texts = _keys(docs, F.coalesce("text", F.lit("")).alias("text")).groupBy("kid", "h").agg(F.first("text").alias("text"))
+    met = texts.join(order.hint("merge"), ["kid", "h"])
+    heads = met.select(F.col("prev_kid").alias("kid"), F.col("prev_h").alias("h"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"))
+    joined = met.select("kid", "h", "text", "sig", "next_sig", "copies").join(heads.hint("merge"), ["kid", "h"])
+    one = F.lit(1).cast("long")
+    parts = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(True).alias("own"), (F.col("copies") - 1).alias("times")), F.struct(F.lit(False).alias("own"), one.alias("times")))).otherwise(F.array(F.struct(F.lit(False).alias("own"), one.alias("times"))))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return joined.select("*", F.inline(parts)).select(
         F.when(F.col("kid") != _LEAST, F.col("kid")).alias("doc_id"), "text", "sig",
-        F.when(own, F.left("text", half)).otherwise(F.col("head")).alias("next_head"), F.when(own, F.col("sig")).otherwise(F.col("next_sig")).alias("next_sig"),
+        F.when(F.col("own"), F.left("text", half)).otherwise(F.col("head")).alias("next_head"), F.when(F.col("own"), F.col("sig")).otherwise(F.col("next_sig")).alias("next_sig"), "times",
     )
 
 
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column; no array has over CHUNK elements."""
+    name = free_name("chunk", rows)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    chunks = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))))
+    return chunks.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col(name) * CHUNK)))).select(*kept)
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text (null: empty) and of its edited text, whose last half is the next document's start."""
+    """Fingerprints of each text (null: empty) and of its edited text, whose last half is the next document's start.
+
+    One row for each row of ``docs``; equal rows are worked out once. A text without words has an empty fingerprint, two
+    of them are alike. Null ids come first; other columns are ignored and an empty table gives no rows.
+    """
     pairs = with_next(docs.select("doc_id", "text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", n - half), "next_head")
-    made = pairs.select("doc_id", "sig", "next_sig", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), signatures(e).alias("sig"))).alias("e"))
-    return made.select(
+    made = pairs.select("doc_id", "sig", "next_sig", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), signatures(e).alias("sig"))).alias("e"), "times")
+    told = made.select(
         "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), fingerprint(F.col("sig")).alias("fingerprint"), fingerprint(F.col("e.sig")).alias("edited_fingerprint"),
-        likeness(F.col("sig"), F.col("e.sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+        likeness(F.col("sig"), F.col("e.sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"), "times",
     )
+    return repeated(told, "times")

@@ -173,6 +173,14 @@ def test_fingerprints_of_awkward_rows(spark, awkward, nothing):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CHUNK", 2)
+    rows = [(1, "one two three four"), *[(2, " ".join(f"w{i}" for i in range(40)))] * 7, (3, "the last one here"), (4, None), (4, ""), (4, "")]
+    got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == brute_edited([(i, t or "") for i, t in rows])
+    assert sorted(r.near_next for r in got if r.doc_id == 2) == [0.0] + [1.0] * 6 and len({r.fingerprint for r in got if r.doc_id == 2}) == 1
+
+
 def test_signatures_equal_a_relational_version(spark, sf_dir, awkward):
     """The same definition as rows: k-mers exploded, numbered by windows, the two least of each bin paired."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").unionByName(awkward.filter("doc_id <> 8").select("text")).distinct()

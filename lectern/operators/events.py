@@ -41,6 +41,21 @@ def streaks(days: DataFrame) -> DataFrame:
     return runs.groupBy("user_id").agg(F.max_by("n", "last_day").alias("current_streak"), F.max("n").alias("longest_streak"), F.max("last_day").alias("last_day"))
 
 
+def streak_states(days: DataFrame) -> DataFrame:
+    """(user_id, current, longest, last_day) after each reader's days (user_id, day) in order, as a state that every
+    completed session updates: the same day keeps it, the next day adds one, a gap starts anew.
+    """
+    items = F.array_sort(F.collect_list("day"))
+    zero = F.struct(F.lit(0).alias("current"), F.lit(0).alias("longest"), F.lit(None).cast("date").alias("last_day"))
+
+    def step(s: Column, day: Column) -> Column:
+        gap = F.datediff(day, s["last_day"])
+        current = F.when(gap == 0, s["current"]).when(gap == 1, s["current"] + 1).otherwise(1)
+        return F.struct(current.alias("current"), F.greatest(s["longest"], current).alias("longest"), day.alias("last_day"))
+
+    return days.groupBy("user_id").agg(F.aggregate(items, zero, step).alias("s")).select("user_id", "s.current", "s.longest", "s.last_day")
+
+
 def active_ms(started: Column, ended: Column, hidden: Column) -> Column:
     """Milliseconds that a session was in view: from start to end without the array of hidden spans (from, to).
 

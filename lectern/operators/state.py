@@ -67,3 +67,14 @@ def session_state(events: DataFrame) -> DataFrame:
     done = F.min(F.when(F.col("kind") == "complete", F.col("ts")))
     n = F.count_if(F.col("kind") == "complete")
     return events.groupBy("session_id").agg(started.alias("started_at"), done.alias("ended_at"), n.alias("n_complete"), F.when(n > 1, "already_completed").alias("error"))
+
+
+def without_prefix(parents: DataFrame, children: dict[str, DataFrame], name: str, prefix: str, key: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Parents whose ``name`` does not start with ``prefix``, and each table of children without rows of those that do."""
+    gone = parents.filter(F.col(name).startswith(prefix))
+    return parents.filter(~F.coalesce(F.col(name).startswith(prefix), F.lit(False))), {n: cascade_delete(rows, gone, key) for n, rows in children.items()}
+
+
+def backdated(rows: DataFrame, column: str, days: int) -> DataFrame:
+    """``rows`` with a time moved so many days into the past."""
+    return rows.withColumn(column, F.col(column) - F.expr(f"interval {int(days)} days"))

@@ -140,3 +140,9 @@ def srt_04_jsn_01_newest_payloads(spark: SparkSession, sf_dir: str) -> DataFrame
 def str_38_mth_10_dt_05_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(F.col("k") < 50, F.format_string("%dm", "k")).otherwise(F.format_string("%dh %dm", F.floor(F.col("k") / 60), F.col("k") % 60))
     return adapt(spark, sf_dir, "reads").select("event_id", shown.alias("shown"), (F.lit(60000.0) / F.greatest("words", F.lit(1))).alias("delay_ms"), F.date_format("ts", "yyyy-MM-dd").alias("day_key"))
+
+
+@query(f"with {_STREAKS} select user_id, cast(current_streak as int) as current, cast(longest_streak as int) longest, last_day from s", "days")
+def stm_03_streak_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after every session of a reader, several a day: as the streaming state keeps it."""
+    return events.streak_states(adapt(spark, sf_dir, "reads").select("user_id", F.col("ts").cast("date").alias("day")))

@@ -11,6 +11,7 @@ from lectern.functions import text as T
 from lectern.operators import breaks, segment, tags
 from lectern.plans.registry import query
 from lectern.sources.adapters import adapt, table
+from lectern.sources.workers import let_import
 
 
 @query(
@@ -176,3 +177,27 @@ def src_01_jn_03_scan_and_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("r_name", "n_name", "s_name", "o_orderkey")
+
+
+_MASK = 4294967296
+_DRAWS = ", ".join(f"cast((seed + {n * 1831565813}) % {_MASK} as bigint) a{n}" for n in (1, 2, 3))
+
+
+def _draw(a: str) -> str:
+    first = f"cast((cast(xor({a}, {a} >> 15) as hugeint) * ({a} | 1)) % {_MASK} as bigint)"
+    second = "xor(t, cast((t + cast((cast(xor(t, t >> 7) as hugeint) * (t | 61)) % 4294967296 as bigint)) % 4294967296 as bigint))"
+    return f"list_transform(list_transform([{first}], lambda t: {second}), lambda t: xor(t, t >> 14) / 4294967296.0::double)[1]"
+
+
+_SWAP = "list_transform(range(1, 5), lambda p: case when p = {i} then {l}[{j}] when p = {j} then {l}[{i}] else {l}[p] end)"
+
+
+@query(
+    f"""with s as (select event_id, {_DRAWS} from (select event_id, (event_id * 2654435761) % {_MASK} seed from events)), d as (select event_id, cast(floor({_draw("a1")} * 4) as int) + 1 j1, cast(floor({_draw("a2")} * 3) as int) + 1 j2, cast(floor({_draw("a3")} * 2) as int) + 1 j3 from s),
+    x as (select *, {_SWAP.format(i=4, j="j1", l="['a', 'b', 'c', 'd']")} l1 from d), y as (select *, {_SWAP.format(i=3, j="j2", l="l1")} l2 from x) select event_id, array_to_string({_SWAP.format(i=2, j="j3", l="l2")}, '') bag from y"""
+)
+def srt_10_stm_06_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bag of four games that each event's seed shuffles."""
+    let_import(spark)
+    bag = F.pandas_udf(lambda seeds: seeds.map(lambda s: "".join(breaks.shuffled(list("abcd"), int(s)))), "string")
+    return table(spark, sf_dir, "events").select("event_id", bag((F.col("event_id") * F.lit(2654435761).cast("long")) % F.lit(4294967296).cast("long")).alias("bag"))

@@ -95,3 +95,11 @@ def dml_06_get_or_create_progress(spark: SparkSession, sf_dir: str) -> DataFrame
     first = reader.story(sessions).groupBy("book_id").agg(F.min_by("session_id", F.struct("chapter_index", "session_index")).alias("first_id"))
     progress = sessions.filter("book_id % 2 = 0").groupBy("book_id").agg(F.max("session_id").alias("cur"))
     return adapt(spark, sf_dir, "books").join(first, "book_id").join(progress, "book_id", "left").select("book_id", F.coalesce("cur", "first_id").alias("current_session"))
+
+
+@query("select o_orderkey, cast(cast(o_orderdate as date) - 3 as varchar) as day from orders where o_custkey not in (select c_custkey from customer where c_name like 'Customer#00000000%')")
+def dml_07_reset_and_backdate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a prefix go with their orders; what is left is moved three days back."""
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    _, left = state.without_prefix(customers, {"orders": table(spark, sf_dir, "orders")}, "c_name", "Customer#00000000", "o_custkey")
+    return state.backdated(left["orders"], "o_orderdate", 3).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import TERM_BYTES, hashed_sample, materialise, prepare, token_hashes
 
 #: Terms are hashed to so many bits; the fit may use so many labelled rows.
-HASH_BITS, SAMPLE_ROWS = 22, 20_000
+HASH_BITS, SAMPLE_ROWS = 22, 40_000
 RANK, RATE, PAIR_RATE, L2, BATCH = 4, 0.1, 0.05, 1e-4, 256
 #: Passes over the sample: so many, and more of a small one, until so many steps are made.
 EPOCHS, STEPS = 20, 600

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -66,6 +67,27 @@ def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(11), key), key).limit(n)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object] = dict) -> object:
+    """What a Python worker keeps for one operator between tasks.
+
+    Workers are used again by other operators, so what another one kept goes first and its memory returns to the system.
+    """
+    if name not in _HELD:
+        if _HELD:
+            import ctypes
+            import gc
+
+            _HELD.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def free_name(name: str, rows: DataFrame) -> str:
     """``name``, with underscores before it as long as ``rows`` has such a column."""
     while name.lower() in (c.lower() for c in rows.columns):

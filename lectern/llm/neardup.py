@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import free_name, materialise, mix, prepare, token_hashes
+from lectern.llm.common import free_name, held, materialise, mix, prepare, token_hashes
 
 K, ROWS = 5, 72
 SIMILARITY = 0.8
@@ -181,6 +181,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("neardup")
         for batch in batches:
             tokens = [token_hashes((text or "").encode("utf-8", "surrogatepass")) for text in batch["text"]]
             made = {"n_words": [len(t) for t in tokens], "sigs": [order_minhash(t).view(np.int64) for t in tokens]}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import TERM_BYTES, hashed_sample, materialise, prepare, token_hashes
+from lectern.llm.common import TERM_BYTES, hashed_sample, held, materialise, prepare, token_hashes
 
 #: Terms are hashed to so many bits; the fit may use so many labelled rows.
 HASH_BITS, SAMPLE_ROWS = 22, 40_000
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     kind = dict(docs.dtypes)["doc_id"]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("toxicity")
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "h": batch["h"], "terms": [text_terms(t).astype(np.int32) for t in batch["text"]]})
 

@@ -186,7 +186,9 @@ _LINE_FORMS = """case cast(session_id % 9 as int) when 0 then 'Ann ' || initcap_
 def str_21_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every text, some made into lists of names, with places, prose or signs that no name has."""
     text, word = F.col("text"), F.split(F.trim("text"), " ")[0]
-    w = F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))
+    first = F.left(word, F.lit(1))
+    capital = F.when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(F.translate(first, "ß", "ẞ"))  # one letter for one, as in SQL, where Spark makes SS of ß
+    w = F.concat(capital, F.substr(word, F.lit(2)))
     ends = [F.concat(F.lit("Ann "), w, F.lit(", B. van Doe and Carl Poe")), *[F.concat(w, F.lit(x)) for x in (" Lee; Eve Moe · J. K. Rey", " & the data", " Roe, University of X", " A B C D", "", " Roe,")], text, text]
     line = F.element_at(F.array(*ends), (F.col("session_id") % 9 + 1).cast("int"))
     return adapt(spark, sf_dir, "sessions").select("session_id", T.is_byline(line).alias("byline"))

@@ -92,6 +92,19 @@ def reached(sessions: DataFrame, readers: DataFrame, completions: DataFrame) ->
     return by_words.unionByName(by_block).groupBy("user_id", "book_id").agg(F.max("end_no").cast("int").alias("reached_no"))
 
 
+def completed(sessions: DataFrame, readers: DataFrame) -> DataFrame:
+    """(user_id, book_id, n_sessions, n_completed): a book's story passages, and those before a reader's position or on record.
+
+    ``readers`` has user_id, book_id, cur (the current passage; null: only records count) and done (the distinct numbers
+    on record). Passages are numbered from 1 without gaps, so a book is its number of passages and no reader is held
+    against each of them. Books without story passages give no row.
+    """
+    sizes = story(sessions).groupBy("book_id").agg(F.count("*").alias("n_sessions"))
+    passed = F.when(F.col("cur") > 1, F.least(F.col("cur") - 1, F.col("n_sessions"))).otherwise(0)
+    further = F.filter("done", lambda x: x.between(1, F.col("n_sessions")) & (F.col("cur").isNull() | (x >= F.col("cur"))))
+    return readers.join(sizes, "book_id").select("user_id", "book_id", "n_sessions", (passed + F.size(further)).cast("long").alias("n_completed"))
+
+
 def recap(chapters: DataFrame) -> DataFrame:
     """Chapters with the last three non-empty recaps before each, in order, joined by a blank line.
 

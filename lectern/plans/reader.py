@@ -48,13 +48,9 @@ _DONE = "done as (select user_id, book_id, max_by(event_id, event_id) last_id, c
 )
 def win_05_agg_02_completed_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages completed by position or by record, counted for each reader and book."""
-    reads = adapt(spark, sf_dir, "reads")
-    sessions = reader.numbered(adapt(spark, sf_dir, "sessions")).select("book_id", "session_no")
-    state = reads.groupBy("user_id", "book_id").agg((1 + (F.max("event_id") % 50)).cast("int").alias("cur"))
-    done = reads.filter("event_type = 'purchase'").select("user_id", "book_id", (1 + F.col("event_id") % 60).cast("int").alias("session_no")).distinct().withColumn("done", F.lit(True))
-    rows = state.join(sessions, "book_id").join(done, ["user_id", "book_id", "session_no"], "left")
-    completed = (F.col("session_no") < F.col("cur")) | F.col("done").isNotNull()
-    return rows.groupBy("user_id", "book_id").agg(F.count("*").alias("n_sessions"), F.count_if(completed).alias("n_completed"))
+    done = F.collect_set(F.when(F.col("event_type") == "purchase", (1 + F.col("event_id") % 60).cast("int")))
+    state = adapt(spark, sf_dir, "reads").groupBy("user_id", "book_id").agg((1 + (F.max("event_id") % 50)).cast("int").alias("cur"), done.alias("done"))
+    return reader.completed(adapt(spark, sf_dir, "sessions"), state)
 
 
 @query(

@@ -256,5 +256,5 @@ def src_04_07_pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), _printed(F.col("text")).alias("content"))
     lines = F.array_sort(F.collect_list(F.struct("page", "line_no", "text")))
-    read = pdf.positioned_lines(made).groupBy("name").agg(F.max("page").alias("pages"), F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).alias("lines_md5"))
+    read = pdf.positioned_lines(made, chars=False).groupBy("name").agg(F.max("page").alias("pages"), F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(lines, lambda x: x["text"]), "\n")).alias("lines_md5"))
     return read.select(F.col("name").cast("long").alias("doc_id"), "pages", "n_lines", "lines_md5")
